@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, exact_dedup, packing, simhash
+from wayfold.llm import bpe, exact_dedup, langid, packing, quality, simhash
 from wayfold.llm.common import read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select(
+        "doc_id",
+        langid.held_out("doc_id", 4, 2).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +62,12 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -57,7 +75,9 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_pu_quality": op4_pu_quality,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_output_codes": op7_output_codes,
     "op10_extendible_hash": op10_extendible_hash,
 }
 

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import attach, checkpointed, ship
@@ -201,3 +201,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     named = checkpointed(rooted.join(whole, "root").select("fp", "n", "component_id", "component_size"))
     return attach(fps, named, ["fp"], "n", sizes["rows"] or 0).select("id", "fp", "component_id", "component_size")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tau: int = TAU) -> DataFrame:
+    """The rows of docs without all but one row of each component, all columns kept.
+
+    The row with the smallest id stays, a null id being the largest; ties go to the smallest text hash, and of rows
+    that repeat both id and text one stays. Only rows of components with several rows are joined.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ship(docs.sparkSession)
+    keys = docs.select(F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h")).alias("id"), text.alias("text"))
+    fps = checkpointed(fingerprints(keys, "id", "text", size).select("fp", F.col("id.i").isNull().alias("none"), F.col("id.i").alias("i"), F.col("id.h").alias("h")))
+    classes = checkpointed(fps.groupBy("fp").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("n")))
+    n = classes.count()
+    roots = components(links(classes.select("fp"), plan(bit_counts(classes) if n else np.zeros((BITS, BITS)), n, tau), tau))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    whole = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    several = checkpointed(rooted.select("fp", "n", "root").join(whole, "root").select("fp", "n", "first"))
+    members = attach(fps, several, ["fp"], "n", fps.count())
+    fate = members.groupBy("i", "h").agg(F.first(F.struct("none", "i", "h").eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("copies"))
+    fate = fate.select(F.col("i").alias("fate_i"), F.col("h").alias("fate_h"), "stays", "copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    marked = keyed.join(fate, keyed.i.eqNullSafe(fate.fate_i) & (keyed.h == fate.fate_h), "left").where("stays is null or stays")
+    tied = F.coalesce(F.col("copies"), F.lit(1)) > 1
+    if fate.where("stays and copies > 1").limit(1).count():
+        one = marked.where(tied).withColumn("at", F.row_number().over(Window.partitionBy("i", "h").orderBy("i"))).where("at = 1")
+        marked = marked.where(~tied).select("row").unionByName(one.select("row"))
+    return marked.select("row.*")
