@@ -99,6 +99,16 @@ def test_best_two_fit():
     assert sorted(packing.best_two_fit({9: 1, 8: 1, 7: 1, 4: 1, 5: 1}, 18)[0][0]) == [4, 5, 9]
 
 
+def test_words_encoded_together(monkeypatch):
+    data = open(TOKENIZER, "rb").read()
+    library, own = packing.load_tokenizer(data), packing.Encoder(data)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    odd = ["é", "e\u0301x", "\u0301a", "ﬁ", "İstanbul", "中文字", "A\u030a", "\u212b", "<|endoftext|>", "a<|startoftext|>b", "x\u00a0y", "\u2003", "don't", "१२", "👩\u200d👩", "\u1100\u1161\u11a8", "ſ", "\x1c", "\ufeff", "\u200b", "Ab,cd!!"]
+    texts = [*odd, " ".join(odd), "\n".join(odd * 3), ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own([t.encode() for t in texts])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack(docs, rows):
     tokenizer = packing.load_tokenizer(open(TOKENIZER, "rb").read())
     want = sorted((str(r[0]), [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows)

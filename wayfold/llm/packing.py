@@ -9,6 +9,7 @@ Documents are then dealt to them by their rank among those of their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ SIZE = 4096
 END = 1
 #: Words whose ids a worker remembers.
 CACHE = 400_000
+#: Unseen words that are encoded at once.
+JOINED = 4000
 _state: dict = {}
 
 
@@ -106,6 +109,7 @@ class Slots:
 
 def load_tokenizer(data: bytes):
     """A tokenizer of the tokenizers library; strings of special tokens in a text are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_buffer(data)
@@ -123,20 +127,33 @@ class Encoder:
     def __init__(self, data: bytes, by_words: bool = True):
         self.tokenizer, self.by_words, self.known = load_tokenizer(data), by_words, {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = [t.decode("utf-8", "replace") for t in texts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words into the table. Many are encoded as one text; a token belongs to the word it starts in."""
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+            last = 0
+            for w, cut in zip(part, np.searchsorted(starts, ends).tolist(), strict=True):
+                self.known[w] = ids[last:cut].tobytes()
+                last = cut
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
-            return self._encode([t.decode("utf-8", "replace") for t in texts])
+            return self._encode(texts)
         split = [t.split() for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            order = list(new)
-            known.update(zip(order, self._encode([w.decode("utf-8", "replace") for w in order]), strict=True))
+        if new := {w for words in split for w in words if w not in known}:
+            self._learn(list(new))
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -161,9 +178,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def pieces(batch: pa.RecordBatch, run: Encoder) -> Iterator[pa.RecordBatch]:
         texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
         own = batch.column("id").to_pylist()
-        for at in range(0, len(texts), 500):
+        for at in range(0, len(texts), 200):
             ids, nums, starts, lengths, data_ = [], [], [], [], []
-            for i, raw in zip(own[at : at + 500], run(texts[at : at + 500]), strict=True):
+            for i, raw in zip(own[at : at + 200], run(texts[at : at + 200]), strict=True):
                 raw += tail
                 for piece, start in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[start : start + 4 * size]
