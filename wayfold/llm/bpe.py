@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from wayfold.llm.common import ship
 
 #: Longest piece merged side by side with others.
 WIDE = 64
-#: Chunks and pieces that a worker remembers, each.
-CACHE = 400_000
+#: Chunks (in each of two generations) and pieces that a worker remembers.
+CACHE = 300_000
 #: Rows merged side by side at once.
 ROWS = 8192
 NONE = np.int64(1) << 60
@@ -46,8 +46,9 @@ class ByteBPE:
         pairs = sorted((ranks[t[:i]] * self.base + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] or [0], dtype=np.int64)
-        self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.chunks: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.pieces: dict[str, bytes] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair merges to, or NONE."""
@@ -104,8 +105,8 @@ class ByteBPE:
             i = after[i]
         return out
 
-    def merge_many(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of 2 to WIDE bytes, one tree a row, all merged in step."""
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (as bytes) of pieces of 2 to WIDE bytes, one tree a row, all merged in step."""
         lengths = np.array([len(p) for p in pieces])
         m, width = len(pieces), 1 << int(lengths.max() - 1).bit_length()
         shift = width.bit_length()
@@ -152,7 +153,6 @@ class ByteBPE:
                 r = self._pair(ids[live[has], b[has]], ids[live[has], i[has]])
                 put(live[has], b[has], np.where(r < NONE, r << shift | b[has], none))
             live = live[tree[live, 1] < none]
-        out = []
         start = np.zeros((m, width + 1), dtype=bool)
         start[:, 0] = True
         at = np.zeros(m, dtype=np.int64)
@@ -161,67 +161,97 @@ class ByteBPE:
             at[alive] = after[alive, at[alive]]
             alive = alive[at[alive] < lengths[alive]]
             start[alive, at[alive]] = True
-        for r in range(m):
-            out.append(ids[r, start[r, :width]])
-        return out
+        start = start[:, :width]
+        flat = ids[start].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(start.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn_pieces(self, pieces: set[bytes]) -> None:
+    def _learn_pieces(self, pieces: set[str]) -> None:
         """Ids of new pieces into the table. A piece that is a token is its id, as in the tiktoken library."""
-        by_width: dict[int, list[bytes]] = {}
-        for p in pieces:
+        by_width: dict[int, tuple[list[str], list[bytes]]] = {}
+        for name in pieces:
+            p = name.encode()
             rank = self.ranks.get(p)
             if rank is not None:
-                self.pieces[p] = rank.to_bytes(4, "little")
+                self.pieces[name] = rank.to_bytes(4, "little")
             elif len(p) > WIDE:
-                self.pieces[p] = np.array(self.merge_one(p), dtype="<u4").tobytes()
+                self.pieces[name] = np.array(self.merge_one(p), dtype="<u4").tobytes()
             else:
-                by_width.setdefault((len(p) - 1).bit_length(), []).append(p)
-        for group in by_width.values():
+                names, group = by_width.setdefault((len(p) - 1).bit_length(), ([], []))
+                names.append(name)
+                group.append(p)
+        for names, group in by_width.values():
             for at in range(0, len(group), ROWS):
-                part = group[at : at + ROWS]
-                for p, ids in zip(part, self.merge_many(part), strict=True):
-                    self.pieces[p] = ids.astype("<u4").tobytes()
+                self.pieces.update(zip(names[at : at + ROWS], self.merge_many(group[at : at + ROWS]), strict=True))
 
-    def _whole(self, text: str) -> bytes:
-        """Ids of a text, piece by piece."""
-        pieces = [p.encode() for p in self.pattern.findall(text)]
-        if new := {p for p in pieces if p not in self.pieces}:
+    def _know(self, pieces: Iterable[str]) -> None:
+        """Makes sure that the table has these pieces."""
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        if new := set(pieces).difference(self.pieces):
             self._learn_pieces(new)
-        return b"".join([self.pieces[p] for p in pieces])
+
+    def _values(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The pieces of a text and their ids."""
+        pieces = self.pattern.findall(text)
+        self._know(pieces)
+        table = self.pieces
+        return pieces, [table[p] for p in pieces]
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(self._values(text)[1])
+
+    def _learn_chunks(self, chunks: set[str], space: str) -> None:
+        """Ids of new chunks, each behind ``space``, into the table; None if white space at its ends may join that around it."""
+        known, clean = self.chunks[space], []
+        for c in chunks:
+            if not c or c[0].isspace() or c[-1].isspace():
+                known[c] = None
+            else:
+                clean.append(c)
+        if not space:
+            split = [self.pattern.findall(c) for c in clean]
+            self._know(p for ps in split for p in ps)
+            known.update((c, b"".join([self.pieces[p] for p in ps])) for c, ps in zip(clean, split, strict=True))
+            return
+        for at in range(0, len(clean), ROWS):
+            part = clean[at : at + ROWS]  # matched as one text: each chunk's first piece begins with its space, and no other does
+            pieces, values = self._values(" " + " ".join(part))
+            starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+            for c, a, b in zip(part, starts, [*starts[1:], len(pieces)], strict=True):
+                known[c] = values[a] if b == a + 1 else b"".join(values[a:b])
 
     def encode_batch(self, texts: list[str], by_space: bool = True) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers.
 
         With ``by_space``, texts are taken chunk by chunk at single spaces: the pattern starts a new piece at a space
-        between two characters that aren't white space. Texts with other spaces are matched whole.
+        between two characters that aren't white space. Texts with other spaces are matched whole. When the table of
+        chunks is full, those used since the last time it was stay.
         """
         if not by_space:
             return [self._whole(t) for t in texts]
-        chunks = self.chunks
-        if max(len(chunks), len(self.pieces)) > CACHE:
-            chunks.clear()
-            self.pieces.clear()
-        split = []
-        for t in texts:
-            parts = t.split(" ")
-            split.append([parts[0], *[" " + p for p in parts[1:]]])
-        new = list({c for parts in split for c in parts if c not in chunks})
-        found, pieces = {}, set()
-        for c in new:
-            word = c[1:] if c[:1] == " " else c
-            if not word or word[0].isspace() or word[-1].isspace():
-                chunks[c] = None
-                continue
-            found[c] = [p.encode() for p in self.pattern.findall(c)]
-            pieces.update(p for p in found[c] if p not in self.pieces)
-        self._learn_pieces(pieces)
-        known = self.pieces
-        for c, ps in found.items():
-            chunks[c] = b"".join([known[p] for p in ps])
         out = []
-        for t, parts in zip(texts, split, strict=True):
-            values = [chunks[c] for c in parts]
-            out.append(self._whole(t) if None in values and t else b"".join([v for v in values if v]))
+        for at in range(0, len(texts), 200):
+            split = [t.split(" ") for t in texts[at : at + 200]]
+            first, later = {p[0] for p in split}, {c for p in split for c in p[1:]}
+            for space, seen in (("", first), (" ", later)):
+                known, old = self.chunks[space], self.old[space]
+                new = seen.difference(known)
+                if old:
+                    kept = [c for c in new if c in old]
+                    for c in kept:
+                        known[c] = old[c]
+                    new.difference_update(kept)
+                if new:
+                    self._learn_chunks(new, space)
+            head, tail = self.chunks[""], self.chunks[" "]
+            for t, parts in zip(texts[at : at + 200], split, strict=True):
+                values = [head[parts[0]]]
+                values += [tail[c] for c in parts[1:]]
+                out.append(self._whole(t) if None in values and t else b"".join(values) if t else b"")
+            for space in ("", " "):
+                if len(self.chunks[space]) > CACHE:
+                    self.old[space], self.chunks[space] = self.chunks[space], {}
         return out
 
     def decode(self, ids: list[int]) -> bytes:
