@@ -9,6 +9,7 @@ Documents are then dealt to them by their rank among those of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ from wayfold.llm.common import checkpointed, ship, written
 SIZE = 4096
 #: Ends every document.
 END = 1
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words (in each of two generations) and pieces whose ids a worker remembers.
+CACHE = 300_000
 #: Unseen words that are encoded at once.
 JOINED = 4000
+_OTHER_SPACE = regex.compile(r"[^\S ]|[\x1c-\x1f\x85\xa0]")
 _state: dict = {}
 
 
@@ -120,41 +123,75 @@ def load_tokenizer(data: bytes):
 class Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words; words seen
-    before come from a bounded table. ``by_words`` says that this holds for the tokenizer given.
+    The tokenizer drops white space and splits a text into pieces that are encoded each on its own. So words, and
+    below them pieces, are remembered in bounded tables; of a full table the entries used since it last was stay.
+    With ``by_words`` false, or no splitting pattern in the tokenizer, whole texts are encoded.
     """
 
     def __init__(self, data: bytes, by_words: bool = True):
-        self.tokenizer, self.by_words, self.known = load_tokenizer(data), by_words, {}
+        self.tokenizer = load_tokenizer(data)
+        first = (json.loads(data).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        found = first.get("pattern", {}).get("Regex") if first.get("type") == "Split" and first.get("invert") else None
+        self.pattern = regex.compile(found + "| ") if found and by_words else None
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.decode("utf-8", "replace") for t in texts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of new pieces into the table. Many are encoded as one text; a token belongs to the piece it starts in."""
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at : at + JOINED]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat = np.array(found.ids, dtype="<u4").tobytes()
+            starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            ends = np.cumsum(np.fromiter((len(t) + 1 for t in part), dtype=np.int64, count=len(part)))
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            self.pieces.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words into the table. Many are encoded as one text; a token belongs to the word it starts in."""
+        """Ids of new words into the table."""
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
-            ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-            last = 0
-            for w, cut in zip(part, np.searchsorted(starts, ends).tolist(), strict=True):
-                self.known[w] = ids[last:cut].tobytes()
-                last = cut
+            text = " ".join([w.decode("utf-8", "replace") for w in part])
+            if _OTHER_SPACE.search(text):  # in a word; these are encoded as texts
+                odd = [w for w in part if _OTHER_SPACE.search(w.decode("utf-8", "replace"))]
+                self.words.update(zip(odd, self._encode(odd), strict=True))
+                part = [w for w in part if w not in self.words]
+                text = " ".join([w.decode("utf-8", "replace") for w in part])
+            if not part:
+                continue
+            text = self.tokenizer.normalizer.normalize_str(text)
+            found = self.pattern.findall(text)
+            if len(self.pieces) > CACHE:
+                self.pieces.clear()
+            if new := set(found).difference(self.pieces) - {" "}:
+                self._learn_pieces(list(new))
+            known = self.pieces
+            values = [known[p] if p != " " else b"" for p in found]
+            cuts = [i for i, p in enumerate(found) if p == " "]
+            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(found)], strict=True):
+                self.words[w] = values[a + 1] if b == a + 2 else b"".join(values[a + 1 : b])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_words:
+        if self.pattern is None:
             return self._encode(texts)
         split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        if new := {w for words in split for w in words if w not in known}:
+        known = self.words
+        new = {w for words in split for w in words}.difference(known)
+        if self.old:
+            again = [w for w in new if w in self.old]
+            known.update((w, self.old[w]) for w in again)
+            new.difference_update(again)
+        if new:
             self._learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join([known[w] for w in words]) for words in split]
+        if len(known) > CACHE:
+            self.old, self.words = known, {}
+        return out
 
 
 def _encoder(data: bytes, by_words: bool) -> Encoder:
@@ -235,13 +272,18 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([at] * len(seq), pa.int32()), pa.array(seq, pa.int64())], names=[*batch.schema.names, "at", "seq"])
 
 
+def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, by_words: bool = True) -> DataFrame:
+    """The pieces of all documents with their ids, written once to the shared folder: (id, piece, start, length, ids, at, seq)."""
+    pieces = encode(docs, tokenizer_path, id_col, text_col, size, end, by_words)
+    return written(pieces.mapInArrow(numbered, "id long, piece int, start long, length long, ids array<int>, at int, seq long"), "pack-pieces")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, by_words: bool = True) -> DataFrame:
     """(id, piece, start, length, ids, sequence_id, offset) of every piece of every document.
 
     A null or empty text is one piece of its end id. Repeated rows are packed each. Pieces fill each sequence without
-    gaps from offset 0. An empty table gives an empty table. The pieces with their ids are written once to the shared
-    folder; only their positions are shuffled, and the ids meet them again by position.
+    gaps from offset 0. An empty table gives an empty table. Who needs no ids can give ``place`` the other columns of
+    ``cut``, whose shuffle then moves positions only.
     """
-    pieces = encode(docs, tokenizer_path, id_col, text_col, size, end, by_words)
-    out = pieces.mapInArrow(numbered, "id long, piece int, start long, length long, ids array<int>, at int, seq long")
-    return place(written(out, "pack-pieces"), size).select("id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    pieces = cut(docs, tokenizer_path, id_col, text_col, size, end, by_words)
+    return place(pieces, size).select("id", "piece", "start", "length", "ids", "sequence_id", "offset")

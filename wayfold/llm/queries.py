@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import bpe, exact_dedup, langid, packing, quality, simhash
-from wayfold.llm.common import read
+from wayfold.llm.common import checkpointed, read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -50,15 +49,18 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    pieces = packing.cut(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = [zlib.crc32(struct.pack(f"<{len(x)}I", *x)) for x in (v.as_py() for v in batch.column("ids"))]
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             keep = [c for c in batch.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crcs, pa.int64())], names=[*keep, "ids_crc32"])
 
-    out = packed.mapInArrow(digest, "id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long")
+    small = pieces.mapInArrow(digest, "id long, piece int, start long, length long, at int, seq long, ids_crc32 long")
+    out = packing.place(checkpointed(small))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
