@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+#: Rows and bytes in an Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,8 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application."""
+    """Give this package to the executors' Python workers, once per application, and keep their Arrow batches small: texts can be long."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_wayfold_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -27,7 +27,7 @@ SIZE = 4096
 #: Ends every document.
 END = 1
 #: Words (in each of two generations) and pieces whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Unseen words that are encoded at once.
 JOINED = 4000
 _OTHER_SPACE = regex.compile(r"[^\S ]|[\x1c-\x1f\x85\xa0]")
