@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, exact_dedup, langid, packing, quality, simhash
+from wayfold.llm import bpe, exact_dedup, fuzzy_lines, langid, packing, quality, quality_rules, simhash, url_filter
 from wayfold.llm.common import checkpointed, read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def op2_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "page_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,16 +75,30 @@ def op7_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = quality_rules.ratios(docs, read(spark, sf_dir, "labels").where("quality = 1"))
+    out = quality_rules.judge(docs, ratio)
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_association_rules": op2_association_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pu_quality": op4_pu_quality,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_output_codes": op7_output_codes,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
+    "op9_likelihood_ratio": op9_likelihood_ratio,
     "op10_extendible_hash": op10_extendible_hash,
 }
 
