@@ -26,11 +26,11 @@ from wayfold.llm.common import checkpointed, ship, written
 SIZE = 4096
 #: Ends every document.
 END = 1
-#: Words (in each of two generations) and pieces whose ids a worker remembers.
-CACHE = 200_000
+#: Words (in each of two generations) whose ids a worker remembers.
+CACHE = 250_000
 #: Unseen words that are encoded at once.
 JOINED = 4000
-_OTHER_SPACE = regex.compile(r"[^\S ]|[\x1c-\x1f\x85\xa0]")
+_ODD = regex.compile(r"[^\S ]|[\x00\x1c-\x1f\x85\xa0]")
 _state: dict = {}
 
 
@@ -120,75 +120,98 @@ def load_tokenizer(data: bytes):
     return t
 
 
+class Merger:
+    """BPE merges of pieces for a vocabulary whose words end in a suffix.
+
+    The tiktoken library merges by rank: with a byte after each piece that stands for the suffix, its ranks are the
+    single bytes, each byte with the suffix, and then the merges in their order. Token numbers are mapped back to ids.
+    """
+
+    END = "\x00"
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+        signs = {c: b for b, c in _byte_signs().items()}
+        end = self.END.encode()
+        raw = lambda token: b"".join(end if part is None else bytes(signs[c] for c in part) for part in ((token[: -len(suffix)], None) if token.endswith(suffix) else (token,)))
+        joined = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        tokens = [*(c for c in signs), *(c + suffix for c in signs), *(a + b for a, b in joined)]
+        ranks = {raw(t): i for i, t in enumerate(dict.fromkeys(tokens)) if raw(t) != end}
+        self.ids = np.zeros(len(tokens), dtype="<u4")
+        self.last = np.zeros(len(tokens), dtype=bool)
+        for t, i in ((t, ranks[raw(t)]) for t in tokens if raw(t) in ranks):
+            self.ids[i], self.last[i] = vocab[t], t.endswith(suffix)
+        self.merge = tiktoken.Encoding("merges", pat_str="[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; no piece may be empty or hold END."""
+        found = np.array(self.merge.encode_ordinary(self.END.join(pieces) + self.END), dtype=np.int64)
+        flat, cuts = self.ids[found].tobytes(), (4 * (np.nonzero(self.last[found])[0] + 1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and splits a text into pieces that are encoded each on its own. So words, and
-    below them pieces, are remembered in bounded tables; of a full table the entries used since it last was stay.
-    With ``by_words`` false, or no splitting pattern in the tokenizer, whole texts are encoded.
+    For a tokenizer that drops white space, splits words by a pattern and merges bytes up to a suffix, words are
+    encoded each on its own and remembered in a bounded table; when it is full, those used since it last was stay.
+    Other tokenizers, or ``by_words`` false, encode whole texts. Words with odd white space, or END, do so too.
     """
 
     def __init__(self, data: bytes, by_words: bool = True):
-        self.tokenizer = load_tokenizer(data)
-        first = (json.loads(data).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        found = first.get("pattern", {}).get("Regex") if first.get("type") == "Split" and first.get("invert") else None
-        self.pattern = regex.compile(found + "| ") if found and by_words else None
+        self.tokenizer, spec = load_tokenizer(data), json.loads(data)
+        model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        plain = plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges") and spec.get("normalizer") and not spec.get("post_processor")
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"] + "| ") if plain and by_words else None
+        self.merger = Merger(model) if self.pattern else None
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.decode("utf-8", "replace") for t in texts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Ids of new pieces into the table. Many are encoded as one text; a token belongs to the piece it starts in."""
-        for at in range(0, len(pieces), JOINED):
-            part = pieces[at : at + JOINED]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            flat = np.array(found.ids, dtype="<u4").tobytes()
-            starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
-            ends = np.cumsum(np.fromiter((len(t) + 1 for t in part), dtype=np.int64, count=len(part)))
-            cuts = (4 * np.searchsorted(starts, ends)).tolist()
-            self.pieces.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words into the table."""
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
-            text = " ".join([w.decode("utf-8", "replace") for w in part])
-            if _OTHER_SPACE.search(text):  # in a word; these are encoded as texts
-                odd = [w for w in part if _OTHER_SPACE.search(w.decode("utf-8", "replace"))]
+            text = b" ".join(part).decode("utf-8", "replace")
+            if _ODD.search(text):
+                odd = [w for w in part if _ODD.search(w.decode("utf-8", "replace"))]
                 self.words.update(zip(odd, self._encode(odd), strict=True))
                 part = [w for w in part if w not in self.words]
-                text = " ".join([w.decode("utf-8", "replace") for w in part])
+                text = b" ".join(part).decode("utf-8", "replace")
             if not part:
                 continue
-            text = self.tokenizer.normalizer.normalize_str(text)
-            found = self.pattern.findall(text)
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            if new := set(found).difference(self.pieces) - {" "}:
-                self._learn_pieces(list(new))
-            known = self.pieces
-            values = [known[p] if p != " " else b"" for p in found]
+            found = self.pattern.findall(self.tokenizer.normalizer.normalize_str(text))
+            values = iter(self.merger([p for p in found if p != " "]))
+            ids = [next(values) if p != " " else b"" for p in found]
             cuts = [i for i, p in enumerate(found) if p == " "]
             for w, a, b in zip(part, [-1, *cuts], [*cuts, len(found)], strict=True):
-                self.words[w] = values[a + 1] if b == a + 2 else b"".join(values[a + 1 : b])
+                self.words[w] = ids[a + 1] if b == a + 2 else b"".join(ids[a + 1 : b])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self.pattern is None:
             return self._encode(texts)
+        known, old = self.words, self.old
         split = [t.split() for t in texts]
-        known = self.words
-        new = {w for words in split for w in words}.difference(known)
-        if self.old:
-            again = [w for w in new if w in self.old]
-            known.update((w, self.old[w]) for w in again)
-            new.difference_update(again)
-        if new:
-            self._learn(list(new))
-        out = [b"".join([known[w] for w in words]) for words in split]
+        values = [list(map(known.get, words)) for words in split]
+        unseen = {w for words, vs in zip(split, values, strict=True) if None in vs for w, v in zip(words, vs, strict=True) if v is None}
+        if unseen:
+            again = [w for w in unseen if w in old]
+            known.update((w, old[w]) for w in again)
+            unseen.difference_update(again)
+            self._learn(list(unseen))
+        out = [b"".join([known[w] if v is None else v for w, v in zip(words, vs, strict=True)]) if None in vs else b"".join(vs) for words, vs in zip(split, values, strict=True)]
         if len(known) > CACHE:
             self.old, self.words = known, {}
         return out
@@ -203,39 +226,39 @@ def _encoder(data: bytes, by_words: bool) -> Encoder:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, by_words: bool = True) -> DataFrame:
-    """Pieces (id, piece, start, length, ids) of all documents: their ids and then ``end``, cut after every ``size`` ids. A null text counts as empty."""
+    """Pieces (id, piece, start, length, ids, at, seq) of all documents: their ids and then ``end``, cut after every ``size`` ids.
+
+    ids is binary: little-endian unsigned 32-bit numbers. at is the task's partition, seq a piece's number among those
+    of its length in the task. A null text counts as empty.
+    """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tail = np.array([end], dtype="<u4").tobytes()
-    names = ["id", "piece", "start", "length", "ids"]
-
-    def pieces(batch: pa.RecordBatch, run: Encoder) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
-        own = batch.column("id").to_pylist()
-        for at in range(0, len(texts), 200):
-            ids, nums, starts, lengths, data_ = [], [], [], [], []
-            for i, raw in zip(own[at : at + 200], run(texts[at : at + 200]), strict=True):
-                raw += tail
-                for piece, start in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[start : start + 4 * size]
-                    ids.append(i)
-                    nums.append(piece)
-                    starts.append(start // 4)
-                    lengths.append(len(part) // 4)
-                    data_.append(part)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(data_), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nums, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=names)
+    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("at", pa.int32()), ("seq", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(data.value, by_words)
-        for batch in batches:
-            yield from pieces(batch, encoder)
+        from pyspark import TaskContext
 
-    return docs.mapInArrow(run, "id long, piece int, start long, length long, ids array<int>")
+        encoder, task, seen = _encoder(data.value, by_words), TaskContext.get().partitionId(), {}
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
+            own = batch.column("id").to_pylist()
+            for at in range(0, len(texts), 200):
+                rows = []
+                for i, raw in zip(own[at : at + 200], encoder(texts[at : at + 200]), strict=True):
+                    raw += tail
+                    for piece, start in enumerate(range(0, len(raw), 4 * size)):
+                        part = raw[start : start + 4 * size]
+                        n = len(part) // 4
+                        seq = seen.get(n, 0)
+                        seen[n] = seq + 1
+                        rows.append((i, piece, start // 4, n, part, task, seq))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(run, "id long, piece int, start long, length long, ids binary, at int, seq long")
 
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
@@ -259,27 +282,13 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return joined.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "sequence_id long", "offset long"]))
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds at, the task's partition, and seq, a piece's number among those of its length in the task."""
-    from pyspark import TaskContext
-
-    at, seen = TaskContext.get().partitionId(), {}
-    for batch in batches:
-        seq = []
-        for n in batch.column("length").to_pylist():
-            seq.append(seen.get(n, 0))
-            seen[n] = seq[-1] + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([at] * len(seq), pa.int32()), pa.array(seq, pa.int64())], names=[*batch.schema.names, "at", "seq"])
-
-
 def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, by_words: bool = True) -> DataFrame:
     """The pieces of all documents with their ids, written once to the shared folder: (id, piece, start, length, ids, at, seq)."""
-    pieces = encode(docs, tokenizer_path, id_col, text_col, size, end, by_words)
-    return written(pieces.mapInArrow(numbered, "id long, piece int, start long, length long, ids array<int>, at int, seq long"), "pack-pieces")
+    return written(encode(docs, tokenizer_path, id_col, text_col, size, end, by_words), "pack-pieces")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, by_words: bool = True) -> DataFrame:
-    """(id, piece, start, length, ids, sequence_id, offset) of every piece of every document.
+    """(id, piece, start, length, ids, sequence_id, offset) of every piece of every document; ids as in ``encode``.
 
     A null or empty text is one piece of its end id. Repeated rows are packed each. Pieces fill each sequence without
     gaps from offset 0. An empty table gives an empty table. Who needs no ids can give ``place`` the other columns of

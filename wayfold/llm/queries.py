@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +54,7 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = packing.cut(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            keep = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crcs, pa.int64())], names=[*keep, "ids_crc32"])
-
-    small = pieces.mapInArrow(digest, "id long, piece int, start long, length long, at int, seq long, ids_crc32 long")
+    small = pieces.select("id", "piece", "start", "length", "at", "seq", F.crc32("ids").alias("ids_crc32"))
     out = packing.place(checkpointed(small))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
