@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, exact_dedup, fuzzy_lines, langid, packing, quality, quality_rules, simhash, url_filter
+from wayfold.llm import bpe, exact_dedup, fuzzy_lines, langid, license_scan, packing, quality, quality_rules, simhash, url_filter
 from wayfold.llm.common import checkpointed, read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,18 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents")).withColumn("sure", license_scan.confirmed())
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform("sure", lambda s: s["family"]))), ",").alias("families"),
+        F.size("sure").cast("long").alias("n_confirmed"),
+        F.size("spans").cast("long").alias("n_predicted"),
+        F.array_max(F.transform("spans", lambda s: s["probability"])).alias("best_probability"),
+        F.transform("sure", lambda s: s["paragraph"]).alias("paragraphs"),
+    )
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_association_rules": op2_association_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pu_quality": op4_pu_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_output_codes": op7_output_codes,
     "op8_fuzzy_lines": op8_fuzzy_lines,
