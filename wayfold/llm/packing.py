@@ -27,7 +27,7 @@ SIZE = 4096
 #: Ends every document.
 END = 1
 #: Words (in each of two generations) whose ids a worker remembers.
-CACHE = 250_000
+CACHE = 350_000
 #: Unseen words that are encoded at once.
 JOINED = 4000
 _ODD = regex.compile(r"[^\S ]|[\x00\x1c-\x1f\x85\xa0]")
@@ -158,6 +158,14 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
 
 
+def _places(values: list) -> Iterator[int]:
+    """Where a list has None."""
+    at = -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        yield at
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
@@ -205,13 +213,17 @@ class Encoder:
         known, old = self.words, self.old
         split = [t.split() for t in texts]
         values = [list(map(known.get, words)) for words in split]
-        unseen = {w for words, vs in zip(split, values, strict=True) if None in vs for w, v in zip(words, vs, strict=True) if v is None}
+        gaps = [list(_places(v)) for v in values]
+        unseen = {words[j] for words, js in zip(split, gaps, strict=True) for j in js}
         if unseen:
             again = [w for w in unseen if w in old]
             known.update((w, old[w]) for w in again)
             unseen.difference_update(again)
             self._learn(list(unseen))
-        out = [b"".join([known[w] if v is None else v for w, v in zip(words, vs, strict=True)]) if None in vs else b"".join(vs) for words, vs in zip(split, values, strict=True)]
+        for words, vs, js in zip(split, values, gaps, strict=True):
+            for j in js:
+                vs[j] = known[words[j]]
+        out = list(map(b"".join, values))
         if len(known) > CACHE:
             self.old, self.words = known, {}
         return out
