@@ -35,6 +35,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines()) if t}
 
 
+def _places(values: list) -> Iterator[int]:
+    """Where a list has None."""
+    at = -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        yield at
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file and splitting pattern."""
 
@@ -46,8 +54,8 @@ class ByteBPE:
         pairs = sorted((ranks[t[:i]] * self.base + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] or [0], dtype=np.int64)
-        self.chunks: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
-        self.old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.chunks: dict[str, dict[str, bytes | bool]] = {"": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes | bool]] = {"": {}, " ": {}}
         self.pieces: dict[str, bytes] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -202,11 +210,11 @@ class ByteBPE:
         return b"".join(self._values(text)[1])
 
     def _learn_chunks(self, chunks: set[str], space: str) -> None:
-        """Ids of new chunks, each behind ``space``, into the table; None if white space at its ends may join that around it."""
+        """Ids of new chunks, each behind ``space``, into the table; False if white space at its ends may join that around it."""
         known, clean = self.chunks[space], []
         for c in chunks:
             if not c or c[0].isspace() or c[-1].isspace():
-                known[c] = None
+                known[c] = False
             else:
                 clean.append(c)
         if not space:
@@ -232,23 +240,24 @@ class ByteBPE:
             return [self._whole(t) for t in texts]
         out = []
         for at in range(0, len(texts), 200):
-            split = [t.split(" ") for t in texts[at : at + 200]]
-            first, later = {p[0] for p in split}, {c for p in split for c in p[1:]}
-            for space, seen in (("", first), (" ", later)):
-                known, old = self.chunks[space], self.old[space]
-                new = seen.difference(known)
-                if old:
-                    kept = [c for c in new if c in old]
-                    for c in kept:
-                        known[c] = old[c]
-                    new.difference_update(kept)
-                if new:
-                    self._learn_chunks(new, space)
+            part = texts[at : at + 200]
+            split = [t.split(" ") for t in part]
             head, tail = self.chunks[""], self.chunks[" "]
-            for t, parts in zip(texts[at : at + 200], split, strict=True):
-                values = [head[parts[0]]]
-                values += [tail[c] for c in parts[1:]]
-                out.append(self._whole(t) if None in values and t else b"".join(values) if t else b"")
+            values = [list(map(tail.get, chunks)) for chunks in split]
+            for chunks, vs in zip(split, values, strict=True):
+                vs[0] = head.get(chunks[0])
+            gaps = [list(_places(vs)) for vs in values]
+            for space, known, unseen in (("", head, {c[0] for c, js in zip(split, gaps, strict=True) if js and js[0] == 0}), (" ", tail, {c[j] for c, js in zip(split, gaps, strict=True) for j in js if j})):
+                old = self.old[space]
+                again = [c for c in unseen if c in old]
+                known.update((c, old[c]) for c in again)
+                unseen.difference_update(again)
+                if unseen:
+                    self._learn_chunks(unseen, space)
+            for t, chunks, vs, js in zip(part, split, values, gaps, strict=True):
+                for j in js:
+                    vs[j] = (tail if j else head)[chunks[j]]
+                out.append(b"" if not t else self._whole(t) if False in vs else b"".join(vs))
             for space in ("", " "):
                 if len(self.chunks[space]) > CACHE:
                     self.old[space], self.chunks[space] = self.chunks[space], {}
