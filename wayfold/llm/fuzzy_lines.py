@@ -33,8 +33,8 @@ NO_ID = (1 << 63) - 1
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Distinct shingles of a line."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))\S+"), F.lit(1)))
+    """Shingles of a line, repeats included."""
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))\S+"), F.lit(1))
 
 
 def _orders(n: int) -> list[int]:
@@ -54,16 +54,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its band keys.
-
-    Lines are grouped by their text; the minima are taken in the same partitions, without a further shuffle.
-    """
-    each = lines.groupBy("line").agg(F.count("*").alias("n"))
-    exploded = each.select("line", "n", F.explode(shingles(F.col("line"), size)).alias("s")).select("line", "n", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(_orders(bands * rows))]
-    signed = exploded.groupBy("line").agg(F.max("n").alias("n"), *minima)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    out = signed.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "line", "n", keys.alias("keys"))
+    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its band keys."""
+    each = lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h", F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))
+    minimum = lambda x: F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(x))))
+    orders = _orders(bands * rows)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[minimum(x) for x in orders[b * rows : (b + 1) * rows]]) for b in range(bands)])
+    out = each.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "line", "n", keys.alias("keys"))
     return written(out, "line-nodes")
 
 
@@ -74,11 +70,9 @@ def buckets(lines: DataFrame) -> DataFrame:
     return checkpointed(entries.withColumn("size", size).where("size > 1").select("key", "node"))
 
 
-def compared(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """pairs (a, b, ...) with their exact Jaccard similarity ``s``. Texts are fetched once for each node and compared as sets of shingles."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    text = checkpointed(lines.select("node", "line").join(used, "node").select("node", shingles(F.col("line"), size).alias("sh")))
-    both = pairs.join(text.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with their exact Jaccard similarity ``s``, from the nodes' shingles (node, sh)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.withColumn("s", same / (F.size("x") + F.size("y") - same)).drop("x", "y")
 
@@ -86,21 +80,23 @@ def compared(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFra
 def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, size: int = SHINGLE) -> DataFrame:
     """(a, b) pairs of nodes that share a bucket and are similar; in large buckets, enough of them to join all that are."""
     out = members.sparkSession.createDataFrame([], "a long, b long")
+    # the shingles of all candidates, fetched once
+    sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", F.array_distinct(shingles(F.col("line"), size)).alias("sh")), "line-sets")
     far = 2 * similarity - 1  # similarity at twice the distance
     while True:
         by = Window.partitionBy("key")
         sized = checkpointed(members.select("key", "node", F.count("*").over(by).alias("size"), F.min("node").over(by).alias("first")))
         few = sized.where((F.col("size") > 1) & (F.col("size") <= small)).select("key", "node")
         pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        out = checkpointed(out.unionByName(compared(checkpointed(pairs), lines, size).where(F.col("s") >= similarity).select("a", "b")))
+        out = checkpointed(out.unionByName(compared(pairs, sets).where(F.col("s") >= similarity).select("a", "b")))
         many = sized.where(F.col("size") > small)
         if not many.limit(1).count():
             return out
-        star = checkpointed(compared(checkpointed(many.where("node != first").select("key", F.col("first").alias("a"), F.col("node").alias("b"))), lines, size))
+        star = checkpointed(compared(many.where("node != first").select("key", F.col("first").alias("a"), F.col("node").alias("b")), sets))
         near = star.where(F.col("s") >= similarity)
         ring = star.where((F.col("s") < similarity) & (F.col("s") >= far))
         across = ring.select("key", F.col("b").alias("a")).join(near.select("key", "b"), "key").select("a", "b").distinct()
-        crossing = compared(checkpointed(across), lines, size).where(F.col("s") >= similarity).select("a", "b")
+        crossing = compared(across, sets).where(F.col("s") >= similarity).select("a", "b")
         out = checkpointed(out.unionByName(near.select("a", "b").distinct()).unionByName(crossing))
         members = star.where(F.col("s") < similarity).select("key", F.col("b").alias("node"))
 
