@@ -185,7 +185,7 @@ def line_rows():
     return [*enumerate(texts), (500, None), (501, ""), (502, " \n\t"), (None, texts[0]), (0, texts[0])]
 
 
-@pytest.mark.parametrize("small", [16, 2])
+@pytest.mark.parametrize("small", [100, 2])
 def test_lines_against_all_pairs(spark, line_rows, small, monkeypatch):
     monkeypatch.setattr(fuzzy_lines.links, "__defaults__", (0.8, small, fuzzy_lines.SHINGLE))
     docs = spark.createDataFrame([(i, t, "z") for i, t in line_rows], "doc_id long, text string, line string")

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from each of its word starts, lower-cased. Equal lines are one node. Of
-each different line, BANDS bands of ROWS minima are keys; the minimum under the k-th order is the shingle hash that is
-smallest after xor with a fixed number. Lines that share a key are candidates:
+A line's shingles are the SHINGLE characters from each of its word starts, lower-cased. Equal lines are one node. The
+hashed shingles of each different line form a ring; the signature is read from BANDS evenly spaced starts, each giving
+the ROWS next hashes on the ring, its minima in the order that begins there. These ROWS together are one band key: two
+lines of Jaccard similarity s agree on it with a chance of about s**ROWS. Lines that share a key are candidates:
 
 * within buckets of up to SMALL lines, every pair;
 * in a larger bucket, each line with the bucket's first line. Lines within the distance join it and leave the
@@ -17,7 +18,6 @@ lines, wherever they stand, the first one stays.
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from wayfold.llm.components import components
 SHINGLE = 12
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
-SMALL = 16
+SMALL = 100
 NO_ID = (1 << 63) - 1
 
 
@@ -37,9 +37,9 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))\S+"), F.lit(1))
 
 
-def _orders(n: int) -> list[int]:
-    rnd = random.Random(41)
-    return [rnd.getrandbits(64) - (1 << 63) for _ in range(n)]
+def _starts(n: int) -> list[int]:
+    """n points evenly spaced over the signed 64-bit numbers, in order."""
+    return [-(1 << 63) + (1 << 64) * (2 * i + 1) // (2 * n) for i in range(n)]
 
 
 def _recall(bands: int, rows: int, s: float) -> float:
@@ -54,11 +54,17 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its band keys."""
-    each = lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h", F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))
-    minimum = lambda x: F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(x))))
-    orders = _orders(bands * rows)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[minimum(x) for x in orders[b * rows : (b + 1) * rows]]) for b in range(bands)])
+    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its band keys.
+
+    Where a start falls among the sorted hashes is read off a second sort that includes the starts, so that nothing
+    but the hashing itself is done by a lambda.
+    """
+    each = lines.groupBy("line").agg(F.count("*").alias("n"))
+    each = each.withColumn("h", F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s))))
+    starts = _starts(bands)
+    each = each.withColumn("own", F.sort_array("h")).withColumn("all", F.sort_array(F.concat("h", F.array(*[F.lit(x) for x in starts]))))
+    at = lambda b, r: F.get("own", F.pmod(F.array_position("all", F.lit(starts[b])) - 1 - b + r, F.size("own")).cast("int"))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[at(b, r) for r in range(rows)]) for b in range(bands)])
     out = each.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "line", "n", keys.alias("keys"))
     return written(out, "line-nodes")
 
