@@ -1,4 +1,4 @@
-"""The queries of the trajectory engine, with their DuckDB counterparts."""
+"""All queries of the trajectory engine by name, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from wayfold.plans import benchmark, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**benchmark.QUERIES, **relational.QUERIES}
+ORACLES: dict[str, str] = {**benchmark.ORACLES, **relational.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The flagship query: positions of ten vehicles at ten instants."""
+    return QUERIES["q3"](spark, sf_dir)
