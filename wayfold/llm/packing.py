@@ -26,11 +26,14 @@ from wayfold.llm.common import checkpointed, ship, written
 SIZE = 4096
 #: Ends every document.
 END = 1
-#: Words (in each of two generations) whose ids a worker remembers.
-CACHE = 350_000
+#: Words whose ids a worker remembers.
+CACHE = 500_000
+#: A full table is begun anew when more than this share of a batch's words isn't in it.
+STALE = 0.2
 #: Unseen words that are encoded at once.
 JOINED = 4000
 _ODD = regex.compile(r"[^\S ]|[\x00\x1c-\x1f\x85\xa0]")
+_ASCII = "".join(map(chr, range(33, 65))) + " " + "".join(map(chr, range(91, 127)))
 _state: dict = {}
 
 
@@ -169,8 +172,8 @@ def _places(values: list) -> Iterator[int]:
 class Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
-    For a tokenizer that drops white space, splits words by a pattern and merges bytes up to a suffix, words are
-    encoded each on its own and remembered in a bounded table; when it is full, those used since it last was stay.
+    For a tokenizer that lower-cases, drops white space, splits words by a pattern and merges bytes up to a suffix,
+    words are encoded each on its own and remembered in a table until it is full; words not in it are encoded again.
     Other tokenizers, or ``by_words`` false, encode whole texts. Words with odd white space, or END, do so too.
     """
 
@@ -178,55 +181,59 @@ class Encoder:
         self.tokenizer, spec = load_tokenizer(data), json.loads(data)
         model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         plain = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
-        plain = plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges") and spec.get("normalizer") and not spec.get("post_processor")
+        normalizer = spec.get("normalizer") or {}
+        plain = plain and "Lowercase" in [normalizer.get("type"), *(x.get("type") for x in normalizer.get("normalizers", []))] and model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges") and not spec.get("post_processor")
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"] + "| ") if plain and by_words else None
         self.merger = Merger(model) if self.pattern else None
+        # the normalizer leaves lower-case ASCII words alone
+        self.lowers = self.pattern is not None and self.tokenizer.normalizer.normalize_str(_ASCII) == _ASCII
         self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.decode("utf-8", "replace") for t in texts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words into the table."""
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            text = b" ".join(part).decode("utf-8", "replace")
-            if _ODD.search(text):
-                odd = [w for w in part if _ODD.search(w.decode("utf-8", "replace"))]
-                self.words.update(zip(odd, self._encode(odd), strict=True))
-                part = [w for w in part if w not in self.words]
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words."""
+        out: dict[bytes, bytes] = {}
+        plain = [w for w in words if w.isascii()]
+        for group, ascii_only in ((plain, True), ([w for w in words if not w.isascii()], False)):
+            for at in range(0, len(group), JOINED):
+                part = group[at : at + JOINED]
                 text = b" ".join(part).decode("utf-8", "replace")
-            if not part:
-                continue
-            found = self.pattern.findall(self.tokenizer.normalizer.normalize_str(text))
-            values = iter(self.merger([p for p in found if p != " "]))
-            ids = [next(values) if p != " " else b"" for p in found]
-            cuts = [i for i, p in enumerate(found) if p == " "]
-            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(found)], strict=True):
-                self.words[w] = ids[a + 1] if b == a + 2 else b"".join(ids[a + 1 : b])
+                if _ODD.search(text):
+                    odd = [w for w in part if _ODD.search(w.decode("utf-8", "replace"))]
+                    out.update(zip(odd, self._encode(odd), strict=True))
+                    part = [w for w in part if w not in out]
+                    text = b" ".join(part).decode("utf-8", "replace")
+                if not part:
+                    continue
+                found = self.pattern.findall(text if ascii_only and self.lowers else self.tokenizer.normalizer.normalize_str(text))
+                ids = iter(self.merger([p for p in found if p != " "]))
+                values = [next(ids) if p != " " else b"" for p in found]
+                cuts = [i for i, p in enumerate(found) if p == " "]
+                for w, a, b in zip(part, [-1, *cuts], [*cuts, len(found)], strict=True):
+                    out[w] = values[a + 1] if b == a + 2 else b"".join(values[a + 1 : b])
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self.pattern is None:
             return self._encode(texts)
-        known, old = self.words, self.old
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]  # of ASCII letters only, as the tokenizer does to all
+        known = self.words
         values = [list(map(known.get, words)) for words in split]
         gaps = [list(_places(v)) for v in values]
         unseen = {words[j] for words, js in zip(split, gaps, strict=True) for j in js}
         if unseen:
-            again = [w for w in unseen if w in old]
-            known.update((w, old[w]) for w in again)
-            unseen.difference_update(again)
-            self._learn(list(unseen))
-        for words, vs, js in zip(split, values, gaps, strict=True):
-            for j in js:
-                vs[j] = known[words[j]]
-        out = list(map(b"".join, values))
-        if len(known) > CACHE:
-            self.old, self.words = known, {}
-        return out
+            new = self._learn(list(unseen))
+            if len(known) < CACHE:
+                known.update(new)
+            elif sum(map(len, gaps)) > STALE * sum(map(len, split)):
+                self.words = new
+            for words, vs, js in zip(split, values, gaps, strict=True):
+                for j in js:
+                    vs[j] = new[words[j]]
+        return list(map(b"".join, values))
 
 
 def _encoder(data: bytes, by_words: bool) -> Encoder:
