@@ -42,6 +42,7 @@ def test_both_trees_agree(ranks):
 
 def test_full_tables_are_emptied(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "STALE", 0.6)
     own = bpe.ByteBPE(ranks, P.PATTERN)
     for t in ("one two three four five", "six  seven eight nine", "one ten"):
         assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == library.encode_ordinary(t)

@@ -22,8 +22,9 @@ from wayfold.llm.common import ship
 
 #: Longest piece merged side by side with others.
 WIDE = 64
-#: Chunks (in each of two generations) and pieces that a worker remembers.
-CACHE = 300_000
+#: Chunks and pieces that a worker remembers, each; a full table is begun anew when more than STALE of a batch isn't in it.
+CACHE = 700_000
+STALE = 0.25
 #: Rows merged side by side at once.
 ROWS = 8192
 NONE = np.int64(1) << 60
@@ -55,7 +56,6 @@ class ByteBPE:
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] or [0], dtype=np.int64)
         self.chunks: dict[str, dict[str, bytes | bool]] = {"": {}, " ": {}}
-        self.old: dict[str, dict[str, bytes | bool]] = {"": {}, " ": {}}
         self.pieces: dict[str, bytes] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -174,67 +174,72 @@ class ByteBPE:
         ends = (4 * np.cumsum(start.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        """Ids of new pieces into the table. A piece that is a token is its id, as in the tiktoken library."""
+    def _merged(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pieces. A piece that is a token is its id, as in the tiktoken library."""
+        out: dict[str, bytes] = {}
         by_width: dict[int, tuple[list[str], list[bytes]]] = {}
         for name in pieces:
             p = name.encode()
             rank = self.ranks.get(p)
             if rank is not None:
-                self.pieces[name] = rank.to_bytes(4, "little")
+                out[name] = rank.to_bytes(4, "little")
             elif len(p) > WIDE:
-                self.pieces[name] = np.array(self.merge_one(p), dtype="<u4").tobytes()
+                out[name] = np.array(self.merge_one(p), dtype="<u4").tobytes()
             else:
                 names, group = by_width.setdefault((len(p) - 1).bit_length(), ([], []))
                 names.append(name)
                 group.append(p)
         for names, group in by_width.values():
             for at in range(0, len(group), ROWS):
-                self.pieces.update(zip(names[at : at + ROWS], self.merge_many(group[at : at + ROWS]), strict=True))
-
-    def _know(self, pieces: Iterable[str]) -> None:
-        """Makes sure that the table has these pieces."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if new := set(pieces).difference(self.pieces):
-            self._learn_pieces(new)
-
-    def _values(self, text: str) -> tuple[list[str], list[bytes]]:
-        """The pieces of a text and their ids."""
-        pieces = self.pattern.findall(text)
-        self._know(pieces)
+                out.update(zip(names[at : at + ROWS], self.merge_many(group[at : at + ROWS]), strict=True))
+        return out
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the pieces."""
         table = self.pieces
-        return pieces, [table[p] for p in pieces]
+        unseen = set(pieces).difference(table)
+        if not unseen:
+            return [table[p] for p in pieces]
+        new = self._merged(unseen)
+        if len(table) < CACHE:
+            table.update(new)
+            return [table[p] for p in pieces]
+        if len(unseen) > STALE * len(pieces):
+            self.pieces = new
+        return [new[p] if p in new else table[p] for p in pieces]
 
     def _whole(self, text: str) -> bytes:
-        return b"".join(self._values(text)[1])
+        return b"".join(self._values(self.pattern.findall(text)))
 
-    def _learn_chunks(self, chunks: set[str], space: str) -> None:
-        """Ids of new chunks, each behind ``space``, into the table; False if white space at its ends may join that around it."""
-        known, clean = self.chunks[space], []
+    def _learn(self, chunks: set[str], space: str) -> dict[str, bytes | bool]:
+        """Ids of chunks, each behind ``space``; False if white space at its ends may join that around it."""
+        out: dict[str, bytes | bool] = {}
+        clean = []
         for c in chunks:
             if not c or c[0].isspace() or c[-1].isspace():
-                known[c] = False
+                out[c] = False
             else:
                 clean.append(c)
         if not space:
             split = [self.pattern.findall(c) for c in clean]
-            self._know(p for ps in split for p in ps)
-            known.update((c, b"".join([self.pieces[p] for p in ps])) for c, ps in zip(clean, split, strict=True))
-            return
+            values = iter(self._values([p for ps in split for p in ps]))
+            out.update((c, b"".join([next(values) for _ in ps])) for c, ps in zip(clean, split, strict=True))
+            return out
         for at in range(0, len(clean), ROWS):
             part = clean[at : at + ROWS]  # matched as one text: each chunk's first piece begins with its space, and no other does
-            pieces, values = self._values(" " + " ".join(part))
+            pieces = self.pattern.findall(" " + " ".join(part))
+            values = self._values(pieces)
             starts = [i for i, p in enumerate(pieces) if p[0] == " "]
             for c, a, b in zip(part, starts, [*starts[1:], len(pieces)], strict=True):
-                known[c] = values[a] if b == a + 1 else b"".join(values[a:b])
+                out[c] = values[a] if b == a + 1 else b"".join(values[a:b])
+        return out
 
     def encode_batch(self, texts: list[str], by_space: bool = True) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers.
 
         With ``by_space``, texts are taken chunk by chunk at single spaces: the pattern starts a new piece at a space
-        between two characters that aren't white space. Texts with other spaces are matched whole. When the table of
-        chunks is full, those used since the last time it was stay.
+        between two characters that aren't white space. Texts with other spaces are matched whole. Chunks are
+        remembered until the table is full; one that no longer fits the texts is begun anew.
         """
         if not by_space:
             return [self._whole(t) for t in texts]
@@ -247,20 +252,18 @@ class ByteBPE:
             for chunks, vs in zip(split, values, strict=True):
                 vs[0] = head.get(chunks[0])
             gaps = [list(_places(vs)) for vs in values]
-            for space, known, unseen in (("", head, {c[0] for c, js in zip(split, gaps, strict=True) if js and js[0] == 0}), (" ", tail, {c[j] for c, js in zip(split, gaps, strict=True) for j in js if j})):
-                old = self.old[space]
-                again = [c for c in unseen if c in old]
-                known.update((c, old[c]) for c in again)
-                unseen.difference_update(again)
-                if unseen:
-                    self._learn_chunks(unseen, space)
+            first = {c[0] for c, js in zip(split, gaps, strict=True) if js and js[0] == 0}
+            later = {c[j] for c, js in zip(split, gaps, strict=True) for j in js if j}
+            new_head, new_tail = self._learn(first, ""), self._learn(later, " ")
+            for space, known, new in (("", head, new_head), (" ", tail, new_tail)):
+                if len(known) < CACHE:
+                    known.update(new)
+                elif sum(map(len, gaps)) > STALE * sum(map(len, split)):
+                    self.chunks[space] = new
             for t, chunks, vs, js in zip(part, split, values, gaps, strict=True):
                 for j in js:
-                    vs[j] = (tail if j else head)[chunks[j]]
+                    vs[j] = (new_tail if j else new_head)[chunks[j]]
                 out.append(b"" if not t else self._whole(t) if False in vs else b"".join(vs))
-            for space in ("", " "):
-                if len(self.chunks[space]) > CACHE:
-                    self.old[space], self.chunks[space] = self.chunks[space], {}
         return out
 
     def decode(self, ids: list[int]) -> bytes:
