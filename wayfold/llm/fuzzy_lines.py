@@ -6,13 +6,15 @@ the ROWS next hashes on the ring, its minima in the order that begins there. The
 lines of Jaccard similarity s agree on it with a chance of about s**ROWS. Lines that share a key are candidates:
 
 * within buckets of up to SMALL lines, every pair;
-* in a larger bucket, each line with the bucket's first line. Lines within the distance join it and leave the
-  bucket. Jaccard distance is a metric, so a line that stays can only be near one that left if it is within twice
-  the distance of the first line; these pairs are compared too. The others repeat this with a new first line.
-
-So a bucket of copies costs one comparison a line, no link within a bucket is lost, and no pair is listed without
-need. Candidates are compared by exact Jaccard on their shingles; links are joined by union-find; of each component's
-lines, wherever they stand, the first one stays.
+* lines of larger buckets by their rarest shingles: of n shingles, n - ceil(0.8 n) + 1, one of which two similar lines
+  must share. A passage that many lines have in common is not rare, so it no longer brings them together;
+* in groups of those that are still large, each line with the group's first line. Lines within the distance join it
+  and leave. Jaccard distance is a metric, so a line that stays can only be near one that left if it is within twice
+  the distance of the first line; these pairs are compared too. After STARS such rounds the pairs of what is left.
+
+So a group of copies costs one comparison a line, and no link within a bucket is lost. Candidates are compared by exact
+Jaccard on their shingles; links are joined by union-find; of each component's lines, wherever they stand, the first
+one stays.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import attach, checkpointed, written
+from wayfold.llm.common import attach, checkpointed, release, written
 from wayfold.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SMALL = 100
+#: Rounds of comparison with the first line of a large group.
+STARS = 3
 NO_ID = (1 << 63) - 1
 
 
@@ -83,28 +87,48 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("s", same / (F.size("x") + F.size("y") - same)).drop("x", "y")
 
 
+def _pairs(groups: DataFrame) -> DataFrame:
+    """(a, b), a < b, of each two nodes that share a group."""
+    return groups.select("key", F.col("node").alias("a")).join(groups.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): the rarest shingles of each node, so many that two similar nodes have one of them in common."""
+    each = sets.select("node", F.explode("sh").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("f"))
+    ranked = each.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("r"))
+    n = F.size("r")
+    prefix = F.slice("r", 1, (n - F.ceil(n * F.lit(similarity)) + 1).cast("int"))
+    return ranked.select("node", F.explode(F.transform(prefix, lambda x: F.xxhash64(x["s"]))).alias("key"))
+
+
 def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, size: int = SHINGLE) -> DataFrame:
     """(a, b) pairs of nodes that share a bucket and are similar; in large buckets, enough of them to join all that are."""
-    out = members.sparkSession.createDataFrame([], "a long, b long")
+    spark = members.sparkSession
     # the shingles of all candidates, fetched once
     sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", F.array_distinct(shingles(F.col("line"), size)).alias("sh")), "line-sets")
+    release(spark)
+    by = Window.partitionBy("key")
+    count = F.count("*").over(by)
+    sized = checkpointed(members.select("key", "node", count.alias("size")))
+    out = checkpointed(compared(_pairs(sized.where(F.col("size") <= small)), sets).where(F.col("s") >= similarity).select("a", "b"))
+    hot = sized.where(F.col("size") > small).select("node").distinct()
     far = 2 * similarity - 1  # similarity at twice the distance
-    while True:
-        by = Window.partitionBy("key")
-        sized = checkpointed(members.select("key", "node", F.count("*").over(by).alias("size"), F.min("node").over(by).alias("first")))
-        few = sized.where((F.col("size") > 1) & (F.col("size") <= small)).select("key", "node")
-        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        out = checkpointed(out.unionByName(compared(pairs, sets).where(F.col("s") >= similarity).select("a", "b")))
+    groups = _rare(sets.join(hot, "node"), similarity)
+    for _ in range(STARS):
+        sized = checkpointed(groups.select("key", "node", count.alias("size"), F.min("node").over(by).alias("first")))
         many = sized.where(F.col("size") > small)
+        groups = sized.where((F.col("size") > 1) & (F.col("size") <= small)).select("key", "node")
         if not many.limit(1).count():
-            return out
+            break
         star = checkpointed(compared(many.where("node != first").select("key", F.col("first").alias("a"), F.col("node").alias("b")), sets))
         near = star.where(F.col("s") >= similarity)
         ring = star.where((F.col("s") < similarity) & (F.col("s") >= far))
         across = ring.select("key", F.col("b").alias("a")).join(near.select("key", "b"), "key").select("a", "b").distinct()
         crossing = compared(across, sets).where(F.col("s") >= similarity).select("a", "b")
         out = checkpointed(out.unionByName(near.select("a", "b").distinct()).unionByName(crossing))
-        members = star.where(F.col("s") < similarity).select("key", F.col("b").alias("node"))
+        groups = groups.unionByName(star.where(F.col("s") < similarity).select("key", F.col("b").alias("node")))
+    return out.unionByName(compared(_pairs(groups), sets).where(F.col("s") >= similarity).select("a", "b"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -116,6 +140,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     """
     lines = occurrences(docs, id_col, text_col)
     each = nodes(lines, bands, rows)
+    release(docs.sparkSession)
     roots = components(links(buckets(each), each, similarity))
     groups = each.select("node", "k1", "k2", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     groups = checkpointed(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")))
