@@ -85,6 +85,11 @@ def square_distance(s: str, px: str, py: str) -> str:
     return let("su", u, f"power({px} - {s}.ax - su * ({s}.bx - {s}.ax), 2) + power({py} - {s}.ay - su * ({s}.by - {s}.ay), 2)")
 
 
+def near_segment(s: str, px: str, py: str, reach: str) -> str:
+    """Whether a point is within reach of segment s; a point on it is, however the distance is rounded."""
+    return f"({on_segment(s, px, py)} OR {square_distance(s, px, py)} <= power({reach}, 2))"
+
+
 def segments_meet(a: str, b: str) -> str:
     """Whether any of the segments in list a meets one in list b."""
     return f"exists({a}, ma -> exists({b}, mb -> {meet('ma', 'mb')}))"

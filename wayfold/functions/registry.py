@@ -179,7 +179,7 @@ for name, condition, doc in (
     _add(name, _spatial, [T, P], "BOOLEAN", f"CASE WHEN t IS NULL OR p IS NULL OR size(t) = 0 THEN false ELSE {g.let('el', g.edges('p'), condition)} END", doc, f"{name}(t, 'POLYGON((0 0,0 2,2 2,2 0,0 0))')")
 _add(
     "passes_point", _spatial, [T, ("q", POINT), ("metres", "DOUBLE")], "BOOLEAN",
-    f"CASE WHEN t IS NULL OR q IS NULL OR metres IS NULL OR size(t) = 0 THEN false ELSE exists({g.segments('t')}, ps -> {g.square_distance('ps', 'q.x', 'q.y')} <= power({g.degrees('metres')}, 2)) END",
+    f"CASE WHEN t IS NULL OR q IS NULL OR metres IS NULL OR size(t) = 0 THEN false ELSE exists({g.segments('t')}, ps -> {g.near_segment('ps', 'q.x', 'q.y', g.degrees('metres'))}) END",
     "Whether the line comes within a distance of a point.", "passes_point(t, point, 10)",
 )
 

@@ -56,4 +56,4 @@ def lines_at_points(lines: DataFrame, points: DataFrame, metres: float, line_id:
     segments = lines.select(line_id, F.explode(F.expr(g.segments(t))).alias("s"))
     celled = segments.select(line_id, "s", F.explode(F.expr(f"sequence({low('x')}, {high('x')})")).alias("cx")).select(line_id, "s", "cx", F.explode(F.expr(f"sequence({low('y')}, {high('y')})")).alias("cy"))
     own = points.selectExpr(point_id, f"{point} AS q", f"CAST(floor({point}.x / {cell!r}D) AS INT) AS cx", f"CAST(floor({point}.y / {cell!r}D) AS INT) AS cy")
-    return celled.join(own, ["cx", "cy"]).where(f"{g.square_distance('s', 'q.x', 'q.y')} <= {reach * reach!r}D").select(line_id, point_id).distinct()
+    return celled.join(own, ["cx", "cy"]).where(g.near_segment('s', 'q.x', 'q.y', f"{reach!r}D")).select(line_id, point_id).distinct()

@@ -151,11 +151,8 @@ _sql("fn_polylines_intersect_in_polygon", f"SELECT a, b, polylines_intersect_in_
 , hit AS (SELECT p.trip_id AS a, q.trip_id AS b, {MEET} AS meets, p.ax AS x, p.ay AS y, p.bx - p.ax AS dx, p.by - p.ay AS dy, ((q.ax - p.ax) * (q.by - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) AS num, ((p.bx - p.ax) * (q.by - q.ay) - (p.by - p.ay) * (q.bx - q.ax)) AS den {_OPAIRS} ON true)
 SELECT a, b, bool_or(coalesce(meets AND den <> 0 AND x + num / CASE WHEN den = 0 THEN 1 ELSE den END * dx > 13.1 AND x + num / CASE WHEN den = 0 THEN 1 ELSE den END * dx < 13.9 AND y + num / CASE WHEN den = 0 THEN 1 ELSE den END * dy > 52.1 AND y + num / CASE WHEN den = 0 THEN 1 ELSE den END * dy < 52.9, false)) AS v FROM hit GROUP BY ALL""")
 _VPAIRS = "FROM (SELECT * FROM v WHERE moid IN (0, 5, 10)) p JOIN (SELECT * FROM v WHERE moid IN (1, 6, 11)) q ON true GROUP BY ALL"
-for _p, _b in (("second", "m // 1000"), ("minute", "m // 60000"), ("hour", "m // 3600000"), ("day", "m // 86400000"), ("year", "year(make_timestamp(m * 1000))")):
-    _bucket = f"{_b.replace('m ', 'p.m ').replace('(m', '(p.m')} = {_b.replace('m ', 'q.m ').replace('(m', '(q.m')}"
-    _bucket = _bucket.replace("make_timestamp(p.m", "make_timestamp(p.m").replace("p.p.m", "p.m")
-    if _p in ("hour", "day", "year"):
-        _sql(f"fn_tdwithin_{_p}", f"SELECT a, b, tdwithin(t, u, 20000, '{_p}') AS v {_PAIRS}", f"SELECT p.trip_id AS a, q.trip_id AS b, bool_or({_bucket} AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= {20000 / g.METRES_PER_DEGREE!r}::DOUBLE) AS v {_VPAIRS}")
+for _p, _b in (("hour", "{}.m // 3600000"), ("day", "{}.m // 86400000"), ("year", "year(make_timestamp({}.m * 1000))")):
+    _sql(f"fn_tdwithin_{_p}", f"SELECT a, b, tdwithin(t, u, 20000, '{_p}') AS v {_PAIRS}", f"SELECT p.trip_id AS a, q.trip_id AS b, bool_or({_b.format('p')} = {_b.format('q')} AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= {20000 / g.METRES_PER_DEGREE!r}::DOUBLE) AS v {_VPAIRS}")
 
 # codecs
 _sql("fn_wkb_round_trip", "SELECT trip_id, size(r) AS n, r = t AS same, hex(substring(b, 1, 9)) AS head, octet_length(b) AS bytes FROM (SELECT trip_id, t, b, wkb_to_trajectory(b) AS r FROM (SELECT trip_id, t, trajectory_to_wkb(t) AS b FROM trips))", "SELECT trip_id, n::INT AS n, true AS same, '0102000060E6100000' AS head, (13 + 24 * n)::INT AS bytes FROM tr")
@@ -213,8 +210,8 @@ _frame("q6", lambda spark, sf: _meetings(spark, sf, 10_000, "minute", lambda c:
 _sql(
     "q7",
     "WITH hits AS (SELECT c.licence, p.point_id, min(timestamp_at_position(t.t, p.point)) AS first FROM trips t JOIN datamcar c ON t.moid = c.moid AND c.type = 'passenger' JOIN points p ON p.point.x BETWEEN t.xmin AND t.xmax AND p.point.y BETWEEN t.ymin AND t.ymax AND passes_point(t.t, p.point, 0) GROUP BY c.licence, p.point_id), least_ AS (SELECT point_id, min(first) AS first FROM hits GROUP BY point_id) SELECT h.licence, h.point_id, unix_millis(CAST(h.first AS TIMESTAMP)) AS ms FROM hits h JOIN least_ l ON h.point_id = l.point_id AND h.first = l.first",
-    f""", at AS (SELECT c.licence, q.point_id, CASE WHEN s.ax = q.px AND s.ay = q.py THEN s.t0 WHEN s.bx = q.px AND s.by = q.py THEN s.t1 ELSE round(s.t0 + (s.t1 - s.t0) * sqrt(((q.px - s.ax) ** 2 + (q.py - s.ay) ** 2) / ((s.bx - s.ax) ** 2 + (s.by - s.ay) ** 2)))::BIGINT END AS ms
-FROM s JOIN points q ON s.n > 1 AND {ON} JOIN datamcar c ON s.moid = c.moid AND c.type = 'passenger'), h AS (SELECT licence, point_id, min(ms) AS ms FROM at GROUP BY ALL)
+    f""", seen AS (SELECT c.licence, q.point_id, CASE WHEN s.ax = q.px AND s.ay = q.py THEN s.t0 WHEN s.bx = q.px AND s.by = q.py THEN s.t1 ELSE round(s.t0 + (s.t1 - s.t0) * sqrt(((q.px - s.ax) ** 2 + (q.py - s.ay) ** 2) / ((s.bx - s.ax) ** 2 + (s.by - s.ay) ** 2)))::BIGINT END AS ms
+FROM s JOIN points q ON s.n > 1 AND {ON} JOIN datamcar c ON s.moid = c.moid AND c.type = 'passenger'), h AS (SELECT licence, point_id, min(ms) AS ms FROM seen GROUP BY ALL)
 SELECT licence, point_id, ms::BIGINT AS ms FROM h QUALIFY ms = min(ms) OVER (PARTITION BY point_id)""",
 )
 _LENGTHS = "SELECT t.moid, p.period_id, subpolyline_between(t.t, p.start_period, p.end_period) AS c FROM trips t JOIN {joined} periods1 p ON t.tmin <= unix_millis(CAST(p.end_period AS TIMESTAMP)) AND t.tmax >= unix_millis(CAST(p.start_period AS TIMESTAMP))"
@@ -231,9 +228,9 @@ _sql(
 _frame("q10", lambda spark, sf: _meetings(spark, sf, 3_000, "hour", lambda c: c.join(F.broadcast(d.sample(d.licences(spark, sf), "licence_id").select("licence")), "licence"), lambda c: c, "licence1 <> licence2"), _NEAR.format(a="l", b="c2", bucket="p.m // 3600000 = q.m // 3600000", where="c1.licence <> c2.licence", reach=3_000 / g.METRES_PER_DEGREE).replace("JOIN v q", "JOIN licences1 l ON l.licence = c1.licence JOIN v q"))
 _AT = "SELECT t.moid, p.point_id, i.instant_id FROM trips t JOIN instants i ON t.tmin <= unix_millis(CAST(i.instant AS TIMESTAMP)) AND t.tmax >= unix_millis(CAST(i.instant AS TIMESTAMP)) JOIN points p ON point_at_timestamp(t.t, i.instant) = p.point"
 _OAT = f""", place AS (SELECT s.moid, q.instant_id, CASE WHEN s.t0 = q.im THEN s.ax WHEN s.t1 = q.im THEN s.bx ELSE s.ax + (q.im - s.t0)::DOUBLE / (s.t1 - s.t0) * (s.bx - s.ax) END AS x, CASE WHEN s.t0 = q.im THEN s.ay WHEN s.t1 = q.im THEN s.by ELSE s.ay + (q.im - s.t0)::DOUBLE / (s.t1 - s.t0) * (s.by - s.ay) END AS y FROM s JOIN instants q ON s.t0 <= q.im AND s.t1 >= q.im),
-at AS (SELECT DISTINCT moid, point_id, instant_id FROM place JOIN points ON x = px AND y = py) """
-_sql("q11", f"SELECT DISTINCT c.licence, k.point_id, k.instant_id FROM ({_AT}) k JOIN datamcar c ON k.moid = c.moid", _OAT + "SELECT DISTINCT licence, point_id, instant_id FROM at JOIN datamcar USING (moid)")
-_sql("q12", f"WITH k AS (SELECT DISTINCT c.licence, a.point_id, a.instant_id FROM ({_AT}) a JOIN datamcar c ON a.moid = c.moid) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, a.point_id, a.instant_id FROM k a JOIN k b ON a.point_id = b.point_id AND a.instant_id = b.instant_id AND a.licence <= b.licence", _OAT + ", k AS (SELECT DISTINCT licence, point_id, instant_id FROM at JOIN datamcar USING (moid)) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, point_id, instant_id FROM k a JOIN k b USING (point_id, instant_id) WHERE a.licence <= b.licence")
+seen AS (SELECT DISTINCT moid, point_id, instant_id FROM place JOIN points ON x = px AND y = py) """
+_sql("q11", f"SELECT DISTINCT c.licence, k.point_id, k.instant_id FROM ({_AT}) k JOIN datamcar c ON k.moid = c.moid", _OAT + "SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)")
+_sql("q12", f"WITH k AS (SELECT DISTINCT c.licence, a.point_id, a.instant_id FROM ({_AT}) a JOIN datamcar c ON a.moid = c.moid) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, a.point_id, a.instant_id FROM k a JOIN k b ON a.point_id = b.point_id AND a.instant_id = b.instant_id AND a.licence <= b.licence", _OAT + ", k AS (SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, point_id, instant_id FROM k a JOIN k b USING (point_id, instant_id) WHERE a.licence <= b.licence")
 _CUTS = PIP.replace("FROM v CROSS JOIN e", "FROM pv v CROSS JOIN e").replace("v.trip_id, v.i, v.n,", "v.moid, v.period_id,").replace("inn AS (", "inn AS (").split("cut AS")[0]
 _CLIPPED = (
     ", cl AS (SELECT * FROM clip WHERE cb > ca OR t0 = t1 UNION ALL SELECT v.trip_id, v.moid, p.period_id, v.m, v.m, v.m, v.m, v.x, v.y, v.x, v.y FROM v JOIN periods1 p ON v.m = p.pb WHERE v.i = 1 AND v.n > 1), pv AS (SELECT DISTINCT moid, period_id, ax AS x, ay AS y FROM cl UNION SELECT DISTINCT moid, period_id, bx, by FROM cl) "
