@@ -6,6 +6,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -71,9 +72,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of tables that have been written and are no longer referred to; it otherwise waits for the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of tables that have been written and are no longer referred to; it otherwise waits for the driver's next full collection. The first round frees the plans, the second what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -105,6 +105,7 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
 def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, size: int = SHINGLE) -> DataFrame:
     """(a, b) pairs of nodes that share a bucket and are similar; in large buckets, enough of them to join all that are."""
     spark = members.sparkSession
+    release(spark)
     # the shingles of all candidates, fetched once
     sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", F.array_distinct(shingles(F.col("line"), size)).alias("sh")), "line-sets")
     release(spark)
@@ -141,7 +142,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     lines = occurrences(docs, id_col, text_col)
     each = nodes(lines, bands, rows)
     release(docs.sparkSession)
-    roots = components(links(buckets(each), each, similarity))
+    found = links(buckets(each), each, similarity)
+    release(docs.sparkSession)
+    roots = components(found)
     groups = each.select("node", "k1", "k2", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     groups = checkpointed(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")))
     placed = written(lines.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")), "line-places")
