@@ -185,9 +185,7 @@ def line_rows():
     return [*enumerate(texts), (500, None), (501, ""), (502, " \n\t"), (None, texts[0]), (0, texts[0])]
 
 
-@pytest.mark.parametrize("small", [100, 2])
-def test_lines_against_all_pairs(spark, line_rows, small, monkeypatch):
-    monkeypatch.setattr(fuzzy_lines.links, "__defaults__", (0.8, small, fuzzy_lines.SHINGLE))
+def test_lines_against_all_pairs(spark, line_rows):
     docs = spark.createDataFrame([(i, t, "z") for i, t in line_rows], "doc_id long, text string, line string")
     got = {(fuzzy_lines.NO_ID if r["id"] is None else r["id"], r["at"]): r["kept"] for r in fuzzy_lines.find(docs, bands=24, rows=2).collect()}
     assert got == plain_lines(line_rows)

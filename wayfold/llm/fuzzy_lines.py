@@ -5,16 +5,15 @@ hashed shingles of each different line form a ring; the signature is read from B
 the ROWS next hashes on the ring, its minima in the order that begins there. These ROWS together are one band key: two
 lines of Jaccard similarity s agree on it with a chance of about s**ROWS. Lines that share a key are candidates:
 
-* within buckets of up to SMALL lines, every pair;
-* lines of larger buckets by their rarest shingles: of n shingles, n - ceil(0.8 n) + 1, one of which two similar lines
-  must share. A passage that many lines have in common is not rare, so it no longer brings them together;
-* in groups of those that are still large, each line with the group's first line. Lines within the distance join it
-  and leave. Jaccard distance is a metric, so a line that stays can only be near one that left if it is within twice
-  the distance of the first line; these pairs are compared too. After STARS such rounds the pairs of what is left.
-
-So a group of copies costs one comparison a line, and no link within a bucket is lost. Candidates are compared by exact
-Jaccard on their shingles; links are joined by union-find; of each component's lines, wherever they stand, the first
-one stays.
+* each line of a bucket with the bucket's first line; union-find joins those that are similar, so a bucket of copies
+  costs one comparison a line;
+* the lines of buckets that still hold several components, by their rarest shingles: of n shingles, n - ceil(0.8 n) + 1,
+  one of which two similar lines must share. A passage that many lines have in common isn't rare, so it brings nothing
+  together here. In these groups, again each line with the first one;
+* in groups that then still hold several components, the pairs of lines of different components.
+
+So no two similar lines of a bucket stay apart, and pairs that are joined already or aren't similar are never listed.
+Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever they stand, the first one stays.
 """
 
 from __future__ import annotations
@@ -29,10 +28,7 @@ from wayfold.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
-SMALL = 100
-#: Rounds of comparison with the first line of a large group.
-STARS = 3
+BANDS, ROWS = 10, 4
 NO_ID = (1 << 63) - 1
 
 
@@ -80,56 +76,56 @@ def buckets(lines: DataFrame) -> DataFrame:
     return checkpointed(entries.withColumn("size", size).where("size > 1").select("key", "node"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with their exact Jaccard similarity ``s``, from the nodes' shingles (node, sh)."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("s", same / (F.size("x") + F.size("y") - same)).drop("x", "y")
+def _similar(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets of shingles have that Jaccard similarity; sizes that rule it out are tested first."""
+    same = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) >= F.lit(similarity) * F.greatest(F.size(x), F.size(y))
+    return sizes & (same >= F.lit(similarity) * (F.size(x) + F.size(y) - same))
+
+
+def _open(groups: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFrame:
+    """(key, node, root, first) of the groups whose nodes aren't all in one component; first is a node of the group, another one each turn. Without roots every node is its own."""
+    by = Window.partitionBy("key")
+    rooted = groups.select("key", "node")
+    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root")).over(by).alias("first"))
+    return checkpointed(spread.where("low != high").select("key", "node", "root", "first"))
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b, of each two nodes that share a group."""
-    return groups.select("key", F.col("node").alias("a")).join(groups.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+def _star(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes similar to their group's first one, if they weren't joined to it."""
+    pairs = groups.where("root != first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+    return both.where(_similar("x", "y", similarity)).select("a", "b")
 
 
 def _rare(sets: DataFrame, similarity: float) -> DataFrame:
     """(key, node): the rarest shingles of each node, so many that two similar nodes have one of them in common."""
-    each = sets.select("node", F.explode("sh").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = each.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("r"))
+    each = sets.select("node", F.explode("sh").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("f"))
+    ranked = each.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("r"))
     n = F.size("r")
     prefix = F.slice("r", 1, (n - F.ceil(n * F.lit(similarity)) + 1).cast("int"))
-    return ranked.select("node", F.explode(F.transform(prefix, lambda x: F.xxhash64(x["s"]))).alias("key"))
+    return ranked.select("node", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("p")).select(F.col("p.key").alias("key"), "node")
 
 
-def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, size: int = SHINGLE) -> DataFrame:
-    """(a, b) pairs of nodes that share a bucket and are similar; in large buckets, enough of them to join all that are."""
+def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(a, b) of similar nodes that share a bucket: enough pairs to join all that are."""
     spark = members.sparkSession
     release(spark)
-    # the shingles of all candidates, fetched once
-    sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", F.array_distinct(shingles(F.col("line"), size)).alias("sh")), "line-sets")
+    # the hashed shingles of all candidates, fetched once
+    hashed = F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))
+    sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", hashed.alias("sh")), "line-sets")
     release(spark)
-    by = Window.partitionBy("key")
-    count = F.count("*").over(by)
-    sized = checkpointed(members.select("key", "node", count.alias("size")))
-    out = checkpointed(compared(_pairs(sized.where(F.col("size") <= small)), sets).where(F.col("s") >= similarity).select("a", "b"))
-    hot = sized.where(F.col("size") > small).select("node").distinct()
-    far = 2 * similarity - 1  # similarity at twice the distance
-    groups = _rare(sets.join(hot, "node"), similarity)
-    for _ in range(STARS):
-        sized = checkpointed(groups.select("key", "node", count.alias("size"), F.min("node").over(by).alias("first")))
-        many = sized.where(F.col("size") > small)
-        groups = sized.where((F.col("size") > 1) & (F.col("size") <= small)).select("key", "node")
-        if not many.limit(1).count():
-            break
-        star = checkpointed(compared(many.where("node != first").select("key", F.col("first").alias("a"), F.col("node").alias("b")), sets))
-        near = star.where(F.col("s") >= similarity)
-        ring = star.where((F.col("s") < similarity) & (F.col("s") >= far))
-        across = ring.select("key", F.col("b").alias("a")).join(near.select("key", "b"), "key").select("a", "b").distinct()
-        crossing = compared(across, sets).where(F.col("s") >= similarity).select("a", "b")
-        out = checkpointed(out.unionByName(near.select("a", "b").distinct()).unionByName(crossing))
-        groups = groups.unionByName(star.where(F.col("s") < similarity).select("key", F.col("b").alias("node")))
-    return out.unionByName(compared(_pairs(groups), sets).where(F.col("s") >= similarity).select("a", "b"))
+    out = checkpointed(_star(_open(members, None), sets, similarity))
+    left = _open(members, components(out), 1).select("node").distinct()
+    groups = checkpointed(_rare(sets.join(left, "node"), similarity))
+    out = checkpointed(out.unionByName(_star(_open(groups, components(out), 2), sets, similarity)))
+    left = _open(groups, components(out), 3).select("key", "node", "root").join(sets, "node")
+    x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("sh").alias(f"sh_{n}")) for n in "ab")
+    # the similarity is a condition of the join: pairs that fail it are not listed
+    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _similar("sh_a", "sh_b", similarity))
+    return checkpointed(out.unionByName(rest.select("a", "b").distinct()))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
