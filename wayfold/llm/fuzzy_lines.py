@@ -84,14 +84,23 @@ def _similar(x: str, y: str, similarity: float) -> Column:
 
 
 def _open(groups: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFrame:
-    """(key, node, root, first) of the groups whose nodes aren't all in one component; first is a node of the group, another one each turn. Without roots every node is its own."""
+    """(key, node, root, first) of the groups whose nodes aren't all in one component; first is its smallest node, in later turns any other. Without roots every node is its own."""
     by = Window.partitionBy("key")
+    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
     rooted = groups.select("key", "node")
     rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root")).over(by).alias("first"))
+    spread = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.min(F.struct(order.alias("order"), "node", "root")).over(by).alias("first"))
     return checkpointed(spread.where("low != high").select("key", "node", "root", "first"))
 
 
+def _hooked(links_: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node is linked to, and that one's in turn. Less than the components, in two steps: what it leaves apart is only compared again."""
+    both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")))
+    upper = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return least.join(upper, "up", "left").select("node", F.least(F.coalesce("top", "up"), "up").alias("root"))
+
+
 def _star(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): nodes similar to their group's first one, if they weren't joined to it."""
     pairs = groups.where("root != first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -118,10 +127,10 @@ def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY,
     sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", hashed.alias("sh")), "line-sets")
     release(spark)
     out = checkpointed(_star(_open(members, None), sets, similarity))
-    left = _open(members, components(out), 1).select("node").distinct()
+    left = _open(members, _hooked(out), 1).select("node").distinct()
     groups = checkpointed(_rare(sets.join(left, "node"), similarity))
-    out = checkpointed(out.unionByName(_star(_open(groups, components(out), 2), sets, similarity)))
-    left = _open(groups, components(out), 3).select("key", "node", "root").join(sets, "node")
+    out = checkpointed(out.unionByName(_star(_open(groups, _hooked(out), 2), sets, similarity)))
+    left = _open(groups, _hooked(out), 3).select("key", "node", "root").join(sets, "node")
     x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("sh").alias(f"sh_{n}")) for n in "ab")
     # the similarity is a condition of the join: pairs that fail it are not listed
     rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _similar("sh_a", "sh_b", similarity))
