@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.shipping import ship
 from wayfold.functions.types import LINE, POINT, POLYGON, TRAJECTORY
 
 #: EWKB flags and type numbers.
@@ -161,6 +162,7 @@ def map_matcher(client: Callable[[str], list], concurrency: int = 16, use_time:
 
 def register(spark: SparkSession) -> None:
     """Create the functions in the session. They are made here: Python workers import this module without a session."""
+    ship(spark)
     for f, returns in ((wkb_to_trajectory, TRAJECTORY), (trajectory_to_wkb, "binary"), (polygon_from_wkb, POLYGON), (point_from_wkb, POINT)):
         spark.udf.register(f.__name__, F.arrow_udf(f, returns))
     get = lambda key, default: spark.conf.get(f"wayfold.map_matching.{key}", default)
