@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import gc
-import io
-import os
 import tempfile
 import time
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.shipping import ship as ship_package
+
 #: A key counts as hot when it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 #: Rows and bytes in an Arrow batch.
@@ -25,22 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application, and keep their Arrow batches small: texts can be long."""
-    sc = spark.sparkContext
+    """Gives this package to the executors' Python workers, and keeps their Arrow batches small: texts can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    if getattr(sc, "_wayfold_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(), "wayfold_pkg.zip")
-    Path(path).write_bytes(buf.getvalue())
-    sc.addPyFile(path)
-    sc._wayfold_shipped = True
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
