@@ -119,13 +119,18 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of similar nodes that share a bucket: enough pairs to join all that are."""
+    """(a, b) of similar lines that share a bucket: enough pairs to join all that are."""
     spark = members.sparkSession
     release(spark)
     # the hashed shingles of all candidates, fetched once
     hashed = F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))
     sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", hashed.alias("sh")), "line-sets")
     release(spark)
+    return joined(members, sets, similarity)
+
+
+def joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of similar nodes that share a key of members (key, node): enough pairs to join all that are. sets has each node's hashed shingles (node, sh)."""
     out = checkpointed(_star(_open(members, None), sets, similarity))
     left = _open(members, _hooked(out), 1).select("node").distinct()
     groups = checkpointed(_rare(sets.join(left, "node"), similarity))

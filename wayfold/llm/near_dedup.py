@@ -1,0 +1,136 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+Two documents of similarity 0.8 differ in ten bits of a SimHash on average, some in sixteen: too far for a pigeonhole
+over 64 bits. So candidates come from prefixes instead: with the shingles of all documents in one order, two similar
+documents have one of their first n - ceil(0.8 n) + 1 shingles in common, n being each one's own number. Any order is
+exact; this one puts shingles that are common in a sample last, and goes by hash among the others, so that a passage
+that many documents share brings few of them together. Beside its prefix a document has a sketch: bit b tells whether
+it has an odd number of shingles in class b, so two sketches differ in no more bits than the sets in shingles. Only
+documents whose sketch comes near enough to another one's of the same key are fetched, joined and compared, as the
+lines of fuzzy_lines are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from wayfold.llm.common import attach, checkpointed, release, ship, written
+from wayfold.llm.components import components
+from wayfold.llm.fuzzy_lines import joined
+from wayfold.llm.simhash import SEED, staying
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Documents in the sample of shingles, in how many of them a shingle counts as common, and how many such are listed. They change the order only.
+SAMPLE, COMMON, LISTED = 5000, 3, 200_000
+#: Bits of a sketch are 64 times as many.
+SKETCH = 8
+
+
+def hashed(data: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The different shingles of a UTF-8 text as sorted 64-bit hashes: lower-cased words; a shorter text is one shingle."""
+    words = data.decode(errors="replace").lower().encode(errors="replace").split()
+    hash64 = xxhash.xxh64_intdigest
+    n = max(len(words) - size + 1, 1)
+    return np.unique(np.fromiter((hash64(b" ".join(words[i : i + size]), SEED) for i in range(n)), dtype=np.uint64, count=n).view(np.int64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all, so many that two similar sets have one of them in common."""
+    take = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[:take]
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample have, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("text").cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed(x.as_py()))], names=["key"])
+
+    part = max(1, texts.count() // SAMPLE)
+    often = texts.where(F.pmod(F.col("h"), F.lit(part)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("f"))
+    return np.sort(np.array([r["key"] for r in often.where(F.col("f") >= COMMON).orderBy(F.desc("f"), "key").limit(LISTED).collect()], dtype=np.int64))
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of shingles in 64 * SKETCH classes, as longs."""
+    classes = (own.view(np.uint64) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
+def marks(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, i, h, n, prefix, s0, s1, ...) of every row (i, h, text): the hash of its keys, the keys, how many shingles it has, the first ones of them, its sketch."""
+    spark = keyed.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(_common(keyed))
+    names = ["i", "h", "n", "prefix", *[f"s{k}" for k in range(SKETCH)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashed(x.as_py()) for x in batch.column("text").cast(pa.binary())]
+            first = [prefix(x, held.value, similarity) for x in own]
+            bits = np.array([sketch(x) for x in own], dtype=np.int64).reshape(-1, SKETCH)
+            columns = [batch.column("i"), batch.column("h"), pa.array([len(x) for x in own], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)]], names=names)
+
+    out = keyed.mapInArrow(run, "i long, h long, n long, prefix array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    return written(out.select(F.xxhash64("i", "h").alias("node"), *names), "near-marks")
+
+
+def candidates(each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node) of the prefixes of nodes whose size and sketch allow that another node of the same key is similar."""
+    entries = each.select(F.explode("prefix").alias("key"), "node")
+    shared = checkpointed(entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").select("key", "node"))
+    release(each.sparkSession)
+    light = checkpointed(shared.join(each.drop("prefix", "i", "h"), "node"))
+    x, y = (light.select([F.col(c).alias(f"{t}_{c}") for c in light.columns]) for t in "xy")
+    apart = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    sizes = F.least("x_n", "y_n") >= F.lit(similarity - 1e-9) * F.greatest("x_n", "y_n")
+    near = sizes & (apart * F.lit(1 + similarity) <= F.lit(1 - similarity) * (F.col("x_n") + F.col("y_n")) + F.lit(1e-6))
+    # a semi-join ends a row's search at the first such node, and lists no pairs
+    found = x.join(y, (x.x_key == y.y_key) & (F.col("x_node") != F.col("y_node")) & near, "left_semi")
+    return checkpointed(found.select(F.col("x_key").alias("key"), F.col("x_node").alias("node")).distinct())
+
+
+def sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sh): the hashed shingles of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashed(x.as_py()) for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "sh"])
+
+    texts = keyed.select(F.xxhash64("i", "h").alias("node"), "text").join(nodes, "node").dropDuplicates(["node"])
+    return written(texts.mapInArrow(run, "node long, sh array<long>"), "near-sets")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without all but one row of each component of similar rows, all columns kept.
+
+    Which row stays follows simhash.drop_near_duplicates. Null texts count as empty; texts without a word are alike.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
+    each = marks(keyed, similarity)
+    release(docs.sparkSession)
+    members = candidates(each, similarity)
+    release(docs.sparkSession)
+    held = sets(keyed, members.select("node").distinct())
+    release(docs.sparkSession)
+    roots = components(joined(members, held, similarity))
+    release(docs.sparkSession)
+    rooted = each.select("node", "i", "h").join(roots, "node", "left")
+    rooted = checkpointed(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"))
+    whole = checkpointed(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"))
+    return staying(docs, attach(rooted, whole, ["root"], "rows", rooted.count()), id_col, text)

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import attach, checkpointed, ship
@@ -220,6 +220,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     whole = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
     several = checkpointed(rooted.select("fp", "n", "root").join(whole, "root").select("fp", "n", "first"))
     members = attach(fps, several, ["fp"], "n", fps.count())
+    return staying(docs, members, id_col, text)
+
+
+def staying(docs: DataFrame, members: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """docs without the rows that go. members has (i, h, none, first) of every row of components with several: its id, its text's hash, whether the id is null, and (none, i, h) of the row that stays."""
     fate = members.groupBy("i", "h").agg(F.first(F.struct("none", "i", "h").eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("copies"))
     fate = fate.select(F.col("i").alias("fate_i"), F.col("h").alias("fate_h"), "stays", "copies")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
