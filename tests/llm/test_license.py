@@ -1,3 +1,5 @@
+import itertools
+import textwrap
 from collections import Counter
 
 from wayfold.llm import license_scan
@@ -42,3 +44,25 @@ def test_odd_rows(docs, rows, empty):
     text = "x\n" * 3 + "Released under the MIT License."
     (found,) = license_scan.find(text, license_scan.train())
     assert text[found[1] : found[2]] == "Released under the MIT License."
+
+
+def test_wrapped_notices():
+    model = license_scan.train()
+    for family, texts in license_scan.NOTICES.items():
+        for text in texts:
+            for width, mark in itertools.product((30, 60, 64, 68, 72, 76, 80), ("", "# ", " * ", "// ", "REM ")):
+                lines = textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False)
+                page = ["Copyright 2020 by the authors.", *lines, "Ein Satz mit Wort."]
+                whole = "import x\n\n" + "\n".join(mark + x for x in page) + "\n\nend"
+                sure = [x for x in license_scan.find(whole, model) if x[5] >= license_scan.CONTAINED]
+                assert {x[3] for x in sure} == {family}, (text, width, mark, sure)
+                if len(sure) == 1 and sure[0][5] == 1.0:
+                    found = sure[0]
+                    assert found[0] in range(3, 3 + len(lines)) and whole[found[1] : found[2]].count("\n") < len(lines)
+
+
+def test_lines_across_a_blank_one_are_no_notice():
+    model = license_scan.train()
+    for gap in ("", "  ", " * ", "REM"):
+        text = f"This work is licensed under a\n{gap}\nCreative Commons Attribution 4.0 International License."
+        assert not [x for x in license_scan.find(text, model) if x[5] >= license_scan.CONTAINED]

@@ -3,7 +3,8 @@
 Logistic regression over word n-grams of a paragraph tells license families and an unknown class. It is trained on the
 driver from the notices below, changed at random in fixed ways, and from sentences that use the same words otherwise;
 its temperature is calibrated on further changed copies. A family predicted for a paragraph counts as confirmed if one
-of the family's notices is mostly contained in it. Only n-grams with an ANCHOR word are features, so a paragraph
+of the family's notices is mostly contained in it. Each line is a paragraph, and so are neighbouring lines that hold a
+wrapped notice together, with or without comment markers. Only n-grams with an ANCHOR word are features, so a paragraph
 without any is unknown by the model itself and needs no n-grams.
 """
 
@@ -194,29 +195,80 @@ def contained(words: list[str], family: str) -> float:
     return max(len(t & own) / len(t) for t in _templates(family))
 
 
+#: Words of the longest notice: a passage that has so many gets no further line.
+LONGEST = max(len(tokens(t)) for texts in NOTICES.values() for t in texts)
+#: What is written before a line of a comment in words; other markers are no tokens.
+_MARKER = regex.compile(r"^\W*(?:rem|dnl)(?=\s|$)")
+
+
+def _judged(words: list[str], model: Model) -> tuple[str, float, float] | None:
+    """(family, probability, contained) of words that the model gives a family."""
+    if ANCHORS.isdisjoint(words):
+        return None
+    p = model.probabilities(words)
+    best = int(p[:-1].argmax())
+    if p[best] < PROBABILITY or p[best] <= p[-1]:
+        return None
+    return model.families[best], float(p[best]), contained(words, model.families[best])
+
+
+def _passages(lines: list[tuple[list[str], float]], model: Model) -> list[tuple[int, int, str, float, float]]:
+    """(first, last, family, probability, contained) of passages of several lines that confirm a family better than each of their lines.
+
+    lines has each line's words and how far it holds a notice by itself. A passage goes over neither a line without
+    words nor one that holds a whole notice. Of passages that overlap, that with the most of a notice stays, then the shortest.
+    """
+    near = {j for i, (words, _) in enumerate(lines) if not ANCHORS.isdisjoint(words) for j in range(i - LONGEST, i + 1)}
+    found = []
+    for first in range(len(lines)):
+        words, alone = [], 0.0
+        if first not in near:
+            continue
+        for last in range(first, len(lines)):
+            own, held = lines[last]
+            if not own or held == 1.0 or len(words) >= LONGEST:
+                break
+            words, alone = words + own, max(alone, held)
+            x = _judged(words, model) if last > first else None
+            if x and x[2] >= CONTAINED and x[2] > alone:
+                found.append((first, last, *x))
+    out, used = [], set()
+    for x in sorted(found, key=lambda x: (-x[4], x[1] - x[0], x[0])):
+        if used.isdisjoint(range(x[0], x[1] + 1)):
+            out.append(x)
+            used.update(range(x[0], x[1] + 1))
+    return out
+
+
 def find(text: str, model: Model) -> list[tuple[int, int, int, str, float, float]]:
-    """(paragraph, start, end, family, probability, contained) of each paragraph that has a family; positions in characters."""
+    """(paragraph, start, end, family, probability, contained) of each line that has a family, and of each notice wrapped over several lines, by its first line; positions in characters.
+
+    A line confirmed by itself that is part of a notice confirmed better is left out.
+    """
     low, out = text.lower(), []
     if not any(a in low for a in ANCHORS):
         return out
-    start = 0
+    start, lines, places = 0, [], []
     for i, paragraph in enumerate(text.split("\n")):
         end = start + len(paragraph)
         words = tokens(paragraph)
-        if not ANCHORS.isdisjoint(words):
-            p = model.probabilities(words)
-            best = int(p[:-1].argmax())
-            if p[best] >= PROBABILITY and p[best] > p[-1]:
-                out.append((i, start, end, model.families[best], float(p[best]), contained(words, model.families[best])))
+        x = _judged(words, model)
+        if x:
+            out.append((i, start, end, *x))
+        lines.append((tokens(_MARKER.sub("", paragraph.lower())), x[2] if x and x[2] >= CONTAINED else 0.0))
+        places.append((start, end))
         start = end + 1
-    return out
+    for first, last, *x in _passages(lines, model):
+        out = [y for y in out if not (first <= y[0] <= last and y[5] >= CONTAINED)]
+        out.append((first, places[first][0], places[last][1], *x))
+    return sorted(out, key=lambda x: (x[0], x[2]))
 
 
 SPAN = pa.struct([("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("contained", pa.float64())])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) of every row; spans has a struct for each paragraph (line) that the model gives a family.
+    """(id, spans) of every row; spans has a struct for each line that the model gives a family, and for each notice confirmed over several lines.
 
     Null and empty texts have none. Repeated rows are scanned each; an empty table gives an empty table.
     """
