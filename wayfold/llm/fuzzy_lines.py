@@ -1,6 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from each of its word starts, lower-cased. Equal lines are one node. The
+A line's shingles are the SHINGLE characters from each of its word starts, lower-cased, and in a longer word those from
+each of its characters that so many of the word follow: every character is in one. Equal lines are one node. The
 hashed shingles of each different line form a ring; the signature is read from BANDS evenly spaced starts, each giving
 the ROWS next hashes on the ring, its minima in the order that begins there. These ROWS together are one band key: two
 lines of Jaccard similarity s agree on it with a chance of about s**ROWS. Lines that share a key are candidates:
@@ -34,7 +35,7 @@ NO_ID = (1 << 63) - 1
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Shingles of a line, repeats included."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))\S+"), F.lit(1))
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))(?:\S(?=\S{{{size}}})|\S+)"), F.lit(1))
 
 
 def _starts(n: int) -> list[int]:
