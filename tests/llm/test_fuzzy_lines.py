@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -33,3 +34,16 @@ def test_different_lines_of_long_words_stay(spark):
     assert [r["n_dropped"] for r in fuzzy_lines.report(docs).collect()] == [0] * len(rows)
     same = spark.createDataFrame([(1, "https://example.com/a/long/path/of/a/page/1\nhttps://example.com/a/long/path/of/a/page/2")], "doc_id long, text string")
     assert fuzzy_lines.report(same).first()["dropped"] == [1]
+
+
+def test_short_similar_lines_are_all_found(spark):
+    rnd, lines = random.Random(11), []
+    for n in range(5, fuzzy_lines.FEW + 1):
+        for _ in range(25):
+            words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(5, 9))) for _ in range(n)]
+            gone = rnd.choice((0, 0, n // 5 - 1))
+            lines.append((" ".join(words), " ".join(words[1 + gone :])))
+    lines = [x for x in lines if len(plain_shingles(x[0]) & plain_shingles(x[1])) >= 0.8 * len(plain_shingles(x[0]) | plain_shingles(x[1]))]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.report(docs).withColumnRenamed("id", "doc_id").collect()}
+    assert len(lines) > 300 and got == {i: [1] for i in range(len(lines))}

@@ -4,7 +4,10 @@ A line's shingles are the SHINGLE characters from each of its word starts, lower
 each of its characters that so many of the word follow: every character is in one. Equal lines are one node. The
 hashed shingles of each different line form a ring; the signature is read from BANDS evenly spaced starts, each giving
 the ROWS next hashes on the ring, its minima in the order that begins there. These ROWS together are one band key: two
-lines of Jaccard similarity s agree on it with a chance of about s**ROWS. Lines that share a key are candidates:
+lines of Jaccard similarity s agree on it with a chance of about s**ROWS. On short rings the bands overlap and that
+doesn't hold, so lines of up to FEW shingles have others for keys: their first n - ceil(0.8 n) + 1 hashes, one of which
+two similar lines must share. Lines that can be similar to one of FEW and have more get both. Lines that share a key
+are candidates:
 
 * each line of a bucket with the bucket's first line; union-find joins those that are similar, so a bucket of copies
   costs one comparison a line;
@@ -30,6 +33,8 @@ from wayfold.llm.components import components
 SHINGLE = 12
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
+#: Lines of up to so many shingles find all similar lines.
+FEW = 20
 NO_ID = (1 << 63) - 1
 
 
@@ -54,8 +59,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.col("line").rlike(r"\S"))
 
 
-def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its band keys.
+def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its keys.
 
     Where a start falls among the sorted hashes is read off a second sort that includes the starts, so that nothing
     but the hashing itself is done by a lambda.
@@ -65,7 +70,10 @@ def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
     starts = _starts(bands)
     each = each.withColumn("own", F.sort_array("h")).withColumn("all", F.sort_array(F.concat("h", F.array(*[F.lit(x) for x in starts]))))
     at = lambda b, r: F.get("own", F.pmod(F.array_position("all", F.lit(starts[b])) - 1 - b + r, F.size("own")).cast("int"))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[at(b, r) for r in range(rows)]) for b in range(bands)])
+    banded = F.array(*[F.xxhash64(F.lit(b), *[at(b, r) for r in range(rows)]) for b in range(bands)])
+    n = F.size("own")
+    first = F.transform(F.slice("own", F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")), lambda x: F.xxhash64(F.lit(-1), x))
+    keys = F.when(n <= FEW, first).when(n <= math.floor(FEW / similarity + 1e-9), F.concat(banded, first)).otherwise(banded)
     out = each.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "line", "n", keys.alias("keys"))
     return written(out, "line-nodes")
 
@@ -151,7 +159,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     gives an empty table.
     """
     lines = occurrences(docs, id_col, text_col)
-    each = nodes(lines, bands, rows)
+    each = nodes(lines, bands, rows, similarity=similarity)
     release(docs.sparkSession)
     found = links(buckets(each), each, similarity)
     release(docs.sparkSession)
