@@ -1,49 +1,152 @@
+import itertools
 import random
-import re
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.llm import fuzzy_lines
 
 
 def plain_shingles(line, size=fuzzy_lines.SHINGLE):
-    out = set()
-    for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", line.lower()):
-        out |= {line.lower()[i : i + size] for i in range(m.start(), max(m.start(), m.end() - size) + 1)}
-    return out
+    low = line.lower()
+    return {low[i : i + size] for i in range(max(1, len(low) - size + 1))}
+
+
+def similar(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def plain_dropped(rows):
+    """For each row the numbers of the lines that go, by comparing all different lines. A null id comes last."""
+    places = defaultdict(list)
+    for row, (i, text) in enumerate(rows):
+        for at, line in enumerate((text or "").split("\n")):
+            if line.strip(" \t\x0b\x0c\r"):
+                places[line].append((i is None, i or 0, row, at))
+    lines = sorted(places)
+    sets = [plain_shingles(x) for x in lines]
+    root = {x: x for x in lines}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(zip(lines, sets, strict=True), 2):
+        if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and similar(x, y):
+            root[top(a)] = top(b)
+    whole = defaultdict(list)
+    for x in lines:
+        whole[top(x)] += places[x]
+    out = [[] for _ in rows]
+    for found in whole.values():
+        for _, _, row, at in sorted(found)[1:]:
+            out[row].append(at)
+    return [sorted(x) for x in out]
 
 
 DIFFERENT = [
-    ("https://example.com/a/1", "https://example.org/zzz/2"),
+    ("https://www.example.com/article/1", "https://www.example.com/about-us"),
     ("id=000000000012345", "id=000000000999999"),
     ("今日は天気がとても良いですから散歩に行きます", "今日は天気がとても良いですが仕事があります"),
     ("see https://example.com/a/first/page for more", "see https://example.com/z/other/site for more"),
+    ("a", "b"),
+    ("𝒳" * 14 + " b", "𝒳" * 9 + "𝒴 d"),
 ]
 
 
-def test_shingles_hold_every_character(spark):
-    lines = [x for p in DIFFERENT for x in p] + ["a", "two words", "twelve_chars", "thirteen_char", "x" * 40, "𝒳" * 14 + " b", "Fest 12345678901234 A"]
-    for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", fuzzy_lines.shingles(F.col("line")).alias("sh")).collect():
+def test_shingles_are_all_positions(spark):
+    lines = [x for p in DIFFERENT for x in p] + ["two words", "twelve_chars", "thirteen_char", "x" * 40, "Fest 12345678901234 A", "aé" * 30]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", fuzzy_lines.shingles(F.col("line")).alias("sh")).collect():
         assert set(r["sh"]) == plain_shingles(r["line"])
-        assert set("".join(r["sh"])) >= set(r["line"].lower()) - {" "}
 
 
-def test_different_lines_of_long_words_stay(spark):
+def test_minima_are_those_of_all_shingles(spark):
+    """The minima taken four positions a row equal those over every position, one by one."""
+    lines = ["q", "ab" * 6, "ab" * 6 + "c", "the quick brown fox jumps over the lazy dog", "x" * 40, "é" * 17 + "z", "the quick brown fox jumps over the lazy dog"]
+    df = fuzzy_lines.lines_of(spark.createDataFrame([("\n".join(lines),), (None,), ("",)], "text string"), "text")
+    got = {r["k1"]: r for r in fuzzy_lines.nodes(df).collect()}
+    assert len(got) == len(set(lines)) and sum(r["n"] for r in got.values()) == len(lines)
+    h = F.col("h")
+    mixed = [h, *[F.xxhash64(h, F.lit(j)) for j in range(1, 5)]]
+    halves = [c for x in mixed for c in (F.shiftright(x, 32), F.shiftright(F.shiftleft(x, 32), 32))][: fuzzy_lines.PERMUTATIONS]
+    each = df.select("k1", F.explode(fuzzy_lines.shingles(F.col("line"))).alias("s")).select("k1", F.xxhash64(F.encode("s", "UTF-16BE")).alias("h"))
+    for r in each.groupBy("k1").agg(*[F.min(c).alias(f"m{j}") for j, c in enumerate(halves)]).collect():
+        assert [r[f"m{j}"] for j in range(fuzzy_lines.PERMUTATIONS)] == [got[r["k1"]][f"m{j}"] for j in range(fuzzy_lines.PERMUTATIONS)]
+
+
+def test_different_lines_stay(spark):
     rows = [(i, "\n".join(pair)) for i, pair in enumerate(DIFFERENT)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["n_dropped"] for r in fuzzy_lines.report(docs).collect()] == [0] * len(rows)
-    same = spark.createDataFrame([(1, "https://example.com/a/long/path/of/a/page/1\nhttps://example.com/a/long/path/of/a/page/2")], "doc_id long, text string")
-    assert fuzzy_lines.report(same).first()["dropped"] == [1]
-
-
-def test_short_similar_lines_are_all_found(spark):
-    rnd, lines = random.Random(11), []
-    for n in range(5, fuzzy_lines.FEW + 1):
-        for _ in range(25):
-            words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(5, 9))) for _ in range(n)]
-            gone = rnd.choice((0, 0, n // 5 - 1))
-            lines.append((" ".join(words), " ".join(words[1 + gone :])))
-    lines = [x for x in lines if len(plain_shingles(x[0]) & plain_shingles(x[1])) >= 0.8 * len(plain_shingles(x[0]) | plain_shingles(x[1]))]
-    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
-    got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.report(docs).withColumnRenamed("id", "doc_id").collect()}
-    assert len(lines) > 300 and got == {i: [1] for i in range(len(lines))}
+
+
+def test_recall_by_length(spark):
+    """Of pairs of lines of a similarity of at least 0.8, most barely so, at every length, with the parameters in use."""
+    assert fuzzy_lines.expected_recall() > 0.99
+    rnd, pairs = random.Random(11), []
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for n in [*range(16, 60, 2), *range(60, 400, 20)]:
+        for _ in range(30):
+            line = "".join(rnd.choice(letters) for _ in range(n - 1)) + "."
+            least = next(k for k in range(1, n + 1) if similar(plain_shingles(line), plain_shingles(line[-k:])) and k >= 0.8 * (n - 11))
+            pairs.append((n, line, line[-least:]))
+    rnd.shuffle(pairs)
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (_, a, b) in enumerate(pairs)], "doc_id long, text string")
+    got = {r["id"]: r["n_dropped"] for r in fuzzy_lines.report(docs).collect()}
+    found, all_ = Counter(), Counter()
+    for i, (n, a, b) in enumerate(pairs):
+        size = "few" if n < 32 else "some" if n < 60 else "many"
+        all_[size] += 1
+        found[size] += got[i]
+    assert all(found[x] >= 0.96 * all_[x] for x in all_) and sum(found.values()) >= 0.98 * len(pairs), (found, all_)
+
+
+@pytest.fixture(scope="module")
+def line_rows():
+    rnd = random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu") for b in ("ren", "tis", "mo") for c in ("lar", "ve", "sun", "x")]
+    line = lambda n: [rnd.choice(words) for _ in range(n)]
+    base = [line(rnd.randint(3, 40)) for _ in range(80)]
+    family = line(40)
+    texts = []
+    for i in range(90):
+        parts = [" ".join(rnd.choice(base)) for _ in range(rnd.randint(0, 4))]
+        changed = list(rnd.choice(base))
+        changed[rnd.randrange(len(changed))] = "changed"
+        near = list(family)
+        near[rnd.randrange(40)] = f"v{i}"
+        parts += [" ".join(changed), "", " ".join(near), "short", "Fest 12345678901234 A" if i % 2 else "fest 12345678901234 b"]
+        rnd.shuffle(parts)
+        texts.append("\n".join(parts))
+    return [*enumerate(texts), (500, None), (501, ""), (502, " \n\t"), (None, texts[0] + "\nonly here, in a row without an id"), (None, "first in a row without an id\n" + texts[1]), (0, texts[0])]
+
+
+def test_lines_against_all_pairs(spark, line_rows, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "z") for i, t in line_rows], "doc_id long, text string, line string")
+    want = Counter((i, tuple(x)) for (i, _), x in zip(line_rows, plain_dropped(line_rows), strict=True))
+    for small in (fuzzy_lines.SMALL, 2):  # with 2, large buckets are regrouped by their rarest shingles
+        monkeypatch.setattr(fuzzy_lines, "SMALL", small)
+        assert Counter((r["id"], tuple(r["dropped"])) for r in fuzzy_lines.report(docs).collect()) == want
+
+
+def test_dropped_lines(spark, line_rows):
+    docs = spark.createDataFrame([(i, t, "z", i) for i, t in line_rows], "`doc.id` long, text string, drop string, `row` long")
+    out = fuzzy_lines.drop_lines(docs, "doc.id")
+    assert out.columns == docs.columns
+    clean = lambda t, gone: None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone)
+    want = Counter((i, clean(t, gone), "z", i) for (i, t), gone in zip(line_rows, plain_dropped(line_rows), strict=True))
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
+def test_unique_lines_of_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(None, "a line that stands twice in the table"), (None, "another line that stands only here"), (7, "a line that stands twice in the table")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in fuzzy_lines.drop_lines(docs).collect())
+    assert got == Counter({(None, ""): 1, (None, "another line that stands only here"): 1, (7, "a line that stands twice in the table"): 1})
+
+
+def test_empty_and_odd_rows(docs, rows, empty):
+    assert fuzzy_lines.report(empty).count() == 0 and fuzzy_lines.drop_lines(empty).columns == empty.columns
+    assert fuzzy_lines.report(docs).count() == len(rows)

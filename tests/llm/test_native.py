@@ -2,13 +2,13 @@ import itertools
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import fuzzy_lines, quality_rules, url_filter
+from wayfold.llm import quality_rules, url_filter
 from wayfold.llm.common import read
 
 DATA = "/root/testdata/sf0.001"
@@ -74,7 +74,6 @@ def test_rules_keep_trusted_texts(spark):
 def test_empty_documents(empty):
     ratio = quality_rules.ratios(empty, empty)
     assert set(ratio) == {0.0} and quality_rules.judge(empty, ratio).count() == 0
-    assert fuzzy_lines.report(empty).count() == 0
 
 
 URLS = [None, "", "no scheme", "http://A.Example.COM/en/x?q=1#z", "https://www.example.com/en/1", "x://example.com", "x://example.com?/en/", "http://a.net/es/1.html", "http://net/fr/", "http://xnet/fr/", "a://b://c/d", "http://É.net/fr/\n?x", "http://h.org#://net/es/", "http://u@h.com:8/p"]
@@ -134,81 +133,6 @@ def test_mined_rules_against_all_subsets(spark):
             assert all_[tuple(r["learned"].split(" & "))] == max(all_[c] for c in fits)
 
 
-def plain_shingles(line):
-    starts = [i for i, c in enumerate(line) if c not in SPACE and (i == 0 or line[i - 1] in SPACE)]
-    return {line.lower()[i : i + fuzzy_lines.SHINGLE] for i in starts}
-
-
-def plain_lines(rows):
-    """(id, at) -> (component's first place, similar lines of the same text) by comparing all different lines."""
-    places = defaultdict(list)
-    for i, text in rows:
-        for at, line in enumerate((text or "").split("\n")):
-            if words_of(line):
-                places[line].append((fuzzy_lines.NO_ID if i is None else i, at))
-    lines = sorted(places)
-    sets = [plain_shingles(x) for x in lines]
-    root = {x: x for x in lines}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for (a, x), (b, y) in itertools.combinations(zip(lines, sets, strict=True), 2):
-        if len(x & y) >= 0.8 * len(x | y):
-            root[top(a)] = top(b)
-    first, count = {}, Counter()
-    for x, ps in places.items():
-        first[top(x)] = min([*ps, first.get(top(x), (math.inf, 0))])
-        count[top(x)] += len(ps)
-    return {p: p == first[top(x)] for x, ps in places.items() for p in ps if count[top(x)] > 1}
-
-
-@pytest.fixture(scope="module")
-def line_rows():
-    rnd = random.Random(9)
-    words = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu") for b in ("ren", "tis", "mo") for c in ("lar", "ve", "sun", "x")]
-    line = lambda n: [rnd.choice(words) for _ in range(n)]
-    base = [line(rnd.randint(3, 40)) for _ in range(80)]
-    family = line(40)
-    texts = []
-    for i in range(90):
-        parts = [" ".join(rnd.choice(base)) for _ in range(rnd.randint(0, 4))]
-        changed = list(rnd.choice(base))
-        changed[rnd.randrange(len(changed))] = "changed"
-        near = list(family)
-        near[rnd.randrange(40)] = f"v{i}"
-        parts += [" ".join(changed), "", " ".join(near), "short", "Fest 12345678901234 A" if i % 2 else "fest 12345678901234 b"]
-        rnd.shuffle(parts)
-        texts.append("\n".join(parts))
-    return [*enumerate(texts), (500, None), (501, ""), (502, " \n\t"), (None, texts[0]), (0, texts[0])]
-
-
-def test_lines_against_all_pairs(spark, line_rows):
-    docs = spark.createDataFrame([(i, t, "z") for i, t in line_rows], "doc_id long, text string, line string")
-    got = {(fuzzy_lines.NO_ID if r["id"] is None else r["id"], r["at"]): r["kept"] for r in fuzzy_lines.find(docs, bands=24, rows=2).collect()}
-    assert got == plain_lines(line_rows)
-
-
-def test_dropped_lines(spark, line_rows):
-    docs = spark.createDataFrame([(i, t, "z") for i, t in line_rows], "doc_id long, text string, drop string")
-    want = plain_lines(line_rows)
-    out = fuzzy_lines.drop_lines(docs)
-    assert out.columns == docs.columns
-    clean = lambda i, t: None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if want.get((fuzzy_lines.NO_ID if i is None else i, at), True))
-    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
-    agree = sum((got & Counter((i, clean(i, t)) for i, t in line_rows)).values())
-    assert agree >= 0.97 * len(line_rows)
-    for r in fuzzy_lines.report(docs).collect():
-        text = dict(line_rows[:-2]).get(r["id"], line_rows[0][1])
-        assert r["n_lines"] == sum(bool(words_of(x)) for x in (text or "").split("\n")) and r["n_dropped"] == len(r["dropped"])
-
-
-def test_recall_of_banding():
-    assert fuzzy_lines.expected_recall() >= 0.99
-
-
 def test_url_parts_in_sql(spark):
     pages = read(spark, DATA, "pages")
     out = url_filter.judge(pages, read(spark, DATA, "labels"))

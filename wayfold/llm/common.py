@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from wayfold.functions.shipping import ship as ship_package
 
 #: A key counts as hot when it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+#: Removes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes in an Arrow batch.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
@@ -44,26 +46,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Paths written within each open scratch().
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written within, at its end, but for those written to be kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it survives lost executors and cuts the lineage.
+
+    Its shuffle files go when it is written. A table to be kept outlives the innermost scratch() and falls to the next one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of tables that have been written and are no longer referred to; it otherwise waits for the driver's next full collection. The first round frees the plans, the second what they held."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a scratch table."""
+    return written(df, "scratch")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

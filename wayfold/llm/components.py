@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import checkpointed
+from wayfold.llm.common import checkpointed, scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     no edges give an empty table.
     """
     edges = edges.where("a is not null and b is not null and a != b")
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        now = checkpointed(_small_star(_large_star(now)))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with scratch(edges.sparkSession):
+        now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        seen = None
+        while True:
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+            now = checkpointed(_small_star(_large_star(now)))
+        both = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        return written(both, "components", keep=True)

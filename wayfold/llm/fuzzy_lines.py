@@ -1,206 +1,239 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from each of its word starts, lower-cased, and in a longer word those from
-each of its characters that so many of the word follow: every character is in one. Equal lines are one node. The
-hashed shingles of each different line form a ring; the signature is read from BANDS evenly spaced starts, each giving
-the ROWS next hashes on the ring, its minima in the order that begins there. These ROWS together are one band key: two
-lines of Jaccard similarity s agree on it with a chance of about s**ROWS. On short rings the bands overlap and that
-doesn't hold, so lines of up to FEW shingles have others for keys: their first n - ceil(0.8 n) + 1 hashes, one of which
-two similar lines must share. Lines that can be similar to one of FEW and have more get both. Lines that share a key
-are candidates:
+A line's shingles are its SHINGLE-character substrings at every position, lower-cased; a line of up to that length is
+one shingle. (The signatures read UTF-16 units, the exact comparison characters.) Equal lines are one node. Its
+signature has PERMUTATIONS independent minima over the hashes of all its shingles; BANDS names the triples of them
+that are keys. The triples are the lines of an affine plane, so nine minima give twelve keys and two lines of
+similarity s share one with the chance that ``expected_recall`` adds up: 0.99 at 0.8, for short lines as for long
+ones. The minima are taken STEP positions a row, by a plain aggregate. Lines that share a key are candidates:
 
 * each line of a bucket with the bucket's first line; union-find joins those that are similar, so a bucket of copies
-  costs one comparison a line;
-* the lines of buckets that still hold several components, by their rarest shingles: of n shingles, n - ceil(0.8 n) + 1,
-  one of which two similar lines must share. A passage that many lines have in common isn't rare, so it brings nothing
-  together here. In these groups, again each line with the first one;
+  costs one comparison a line, and a bucket of two lines is done;
+* in what is left of a bucket of up to SMALL lines, the pairs of lines of different components;
+* in larger ones, lines of different components by the lines' rarest shingles: of n shingles,
+  n - ceil(0.8 n) + 1, one of which two similar lines must share. A passage that many lines have in common isn't rare,
+  so it brings nothing together here. In these groups, again each line with the first one;
 * in groups that then still hold several components, the pairs of lines of different components.
 
 So no two similar lines of a bucket stay apart, and pairs that are joined already or aren't similar are never listed.
-Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever they stand, the first one stays.
+Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever
+they stand, the first one stays. Every row of the input is a document of its own, whatever its id.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import attach, checkpointed, release, written
+from wayfold.llm.common import attach, scratch, written
 from wayfold.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 4
-#: Lines of up to so many shingles find all similar lines.
-FEW = 20
-NO_ID = (1 << 63) - 1
+PERMUTATIONS = 9
+#: Triples of minima: the lines of the affine plane over three elements.
+BANDS = [tuple(3 * x + (a * x + c) % 3 for x in range(3)) for a in range(3) for c in range(3)] + [tuple(3 * x + y for y in range(3)) for x in range(3)]
+#: Lines of a bucket whose pairs are compared directly, once its first line's are done.
+SMALL = 128
+#: Shingle positions handled by one row.
+STEP = 4
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Shingles of a line, repeats included."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{size}}}))(?:\S(?=\S{{{size}}})|\S+)"), F.lit(1))
+    low = F.lower(line)
+    return F.when(F.length(low) <= size, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
-def _starts(n: int) -> list[int]:
-    """n points evenly spaced over the signed 64-bit numbers, in order."""
-    return [-(1 << 63) + (1 << 64) * (2 * i + 1) // (2 * n) for i in range(n)]
+def hashed(line: Column, size: int = SHINGLE) -> Column:
+    """Hashes of the different shingles of a line."""
+    return F.array_distinct(F.transform(shingles(line, size), lambda s: F.xxhash64(s)))
 
 
-def _recall(bands: int, rows: int, s: float) -> float:
-    """Chance that two lines of similarity s share a key."""
-    return 1 - (1 - s**rows) ** bands
+def expected_recall(similarity: float = SIMILARITY) -> float:
+    """Chance that two lines of that similarity share a key."""
+    found = 0.0
+    for agree in product((0, 1), repeat=PERMUTATIONS):
+        if any(all(agree[i] for i in band) for band in BANDS):
+            found += similarity ** sum(agree) * (1 - similarity) ** (PERMUTATIONS - sum(agree))
+    return found
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, line) of every line with a word; at counts all lines from 0."""
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"))
-    return lines.where(F.col("line").rlike(r"\S"))
+def _line_keys(line: str = "line") -> list[Column]:
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2")]
 
 
-def nodes(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, k1, k2, line, n, keys) of each different line: a number, two hashes, how often it occurs, and its keys.
+def lines_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """(k1, k2, line) of every line with a word."""
+    lines = docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("line"))
+    return lines.where(F.col("line").rlike(r"\S")).select(*_line_keys(), "line")
 
-    Where a start falls among the sorted hashes is read off a second sort that includes the starts, so that nothing
-    but the hashing itself is done by a lambda.
-    """
-    each = lines.groupBy("line").agg(F.count("*").alias("n"))
-    each = each.withColumn("h", F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s))))
-    starts = _starts(bands)
-    each = each.withColumn("own", F.sort_array("h")).withColumn("all", F.sort_array(F.concat("h", F.array(*[F.lit(x) for x in starts]))))
-    at = lambda b, r: F.get("own", F.pmod(F.array_position("all", F.lit(starts[b])) - 1 - b + r, F.size("own")).cast("int"))
-    banded = F.array(*[F.xxhash64(F.lit(b), *[at(b, r) for r in range(rows)]) for b in range(bands)])
-    n = F.size("own")
-    first = F.transform(F.slice("own", F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")), lambda x: F.xxhash64(F.lit(-1), x))
-    keys = F.when(n <= FEW, first).when(n <= math.floor(FEW / similarity + 1e-9), F.concat(banded, first)).otherwise(banded)
-    out = each.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "line", "n", keys.alias("keys"))
-    return written(out, "line-nodes")
-
-
-def buckets(lines: DataFrame) -> DataFrame:
-    """(key, node) of the keys that several nodes share."""
-    entries = lines.select(F.explode("keys").alias("key"), "node")
-    size = F.count("*").over(Window.partitionBy("key"))
-    return checkpointed(entries.withColumn("size", size).where("size > 1").select("key", "node"))
-
-
-def _similar(x: str, y: str, similarity: float) -> Column:
+
+def nodes(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(node, k1, k2, n, m0, m1, ...) of each different line: a number, two hashes, how often it occurs, its minima (32 bits each)."""
+    units = lines.select("k1", "k2", F.encode(F.lower("line"), "UTF-16BE").alias("b"))
+    units = units.withColumn("last", F.greatest(F.expr(f"int(length(b) div 2) - {size}"), F.lit(0)))
+    at = units.select("k1", "k2", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("p"))
+    own = at.select("k1", "k2", (F.col("p") == 0).cast("long").alias("one"), *[F.expr(f"xxhash64(substring(b, 2 * least(p + {i}, last) + 1, {2 * size}))").alias(f"h{i}") for i in range(STEP)])
+    # the hash and its hashes give two permutations each: their upper and lower halves
+    seeds = range((PERMUTATIONS + 1) // 2)
+    mixed = own.select("k1", "k2", "one", *[(F.xxhash64(f"h{i}", F.lit(j)) if j else F.col(f"h{i}")).alias(f"x{i}_{j}") for i in range(STEP) for j in seeds])
+    least = [F.least(*[F.col(f"x{i}_{j // 2}") if j % 2 == 0 else F.shiftleft(f"x{i}_{j // 2}", 32) for i in range(STEP)]).alias(f"m{j}") for j in range(PERMUTATIONS)]
+    minima = mixed.select("k1", "k2", "one", *least).groupBy("k1", "k2").agg(F.sum("one").alias("n"), *[F.min(f"m{j}").alias(f"m{j}") for j in range(PERMUTATIONS)])
+    return minima.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(PERMUTATIONS)])
+
+
+def entries(each: DataFrame) -> DataFrame:
+    """(key, node) for each key of each node."""
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in band]) for b, band in enumerate(BANDS)]
+    return each.select(F.explode(F.array(*keys)).alias("key"), "node")
+
+
+def shared(members: DataFrame, total: int) -> DataFrame:
+    """members (key, node) whose key several nodes have; total is about their number. members is read twice."""
+    sizes = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
+    sizes = written(sizes.where("low != high").select("key", "size"), "bucket-sizes")
+    return written(attach(members, sizes, ["key"], "size", total).select("key", "node"), "buckets")
+
+
+def _similar(x: Column, y: Column, similarity: float) -> Column:
     """Whether two sets of shingles have that Jaccard similarity; sizes that rule it out are tested first."""
     same = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) >= F.lit(similarity) * F.greatest(F.size(x), F.size(y))
-    return sizes & (same >= F.lit(similarity) * (F.size(x) + F.size(y) - same))
+    sizes = F.least(F.size(x), F.size(y)) >= F.lit(similarity - 1e-9) * F.greatest(F.size(x), F.size(y))
+    return sizes & (same >= F.lit(similarity - 1e-9) * (F.size(x) + F.size(y) - same))
 
 
-def _open(groups: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFrame:
-    """(key, node, root, first) of the groups whose nodes aren't all in one component; first is its smallest node, in later turns any other. Without roots every node is its own."""
-    by = Window.partitionBy("key")
-    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+def _open(groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(key, node, root, first, first_root, size) of the groups (key, node) whose nodes aren't all in one component; first is a node of the group. Without roots (node, root) every node is its own."""
     rooted = groups.select("key", "node")
-    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.min(F.struct(order.alias("order"), "node", "root")).over(by).alias("first"))
-    return checkpointed(spread.where("low != high").select("key", "node", "root", "first"))
+    if roots is None:
+        rooted, order = rooted.withColumn("root", F.col("node")), F.col("node")
+    else:
+        rooted, order = written(rooted.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted"), F.xxhash64("node")
+    whole = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", order).alias("first"), F.min_by("root", order).alias("first_root"), F.count("*").alias("size"))
+    whole = written(whole.where("low != high").select("key", "first", "first_root", "size"), "open")
+    return written(attach(rooted, whole, ["key"], "size", rooted.count()).select("key", "node", "root", "first", "first_root", "size"), "open-members")
 
 
 def _hooked(links_: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node is linked to, and that one's in turn. Less than the components, in two steps: what it leaves apart is only compared again."""
     both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")))
+    least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "hooks")
     upper = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
     return least.join(upper, "up", "left").select("node", F.least(F.coalesce("top", "up"), "up").alias("root"))
 
 
-def _star(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _star(groups: DataFrame, held: DataFrame, similarity: float, shingled: Callable[[Column], Column]) -> DataFrame:
     """(a, b): nodes similar to their group's first one, if they weren't joined to it."""
-    pairs = groups.where("root != first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
-    return both.where(_similar("x", "y", similarity)).select("a", "b")
+    pairs = groups.where("root != first_root").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    # an array of one struct: the shingles are made once, and seen by the whole comparison
+    sets = F.array(F.struct(shingled(F.col("x")).alias("x"), shingled(F.col("y")).alias("y")))
+    return both.where(F.exists(sets, lambda p: _similar(p["x"], p["y"], similarity))).select("a", "b")
+
+
+def _rest(groups: DataFrame, held: DataFrame, similarity: float, shingled: Callable[[Column], Column]) -> DataFrame:
+    """(a, b) of similar nodes of different components (key, node, root) in one group. Each pair is compared at the least key that both have, inside the join: pairs that fail are not listed."""
+    each = groups.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys"))
+    sets = written(each.join(held, "node").select("node", "root", "keys", shingled(F.col("held")).alias("held")), "sets")
+    left = groups.select("key", "node").join(sets, "node")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "root", "keys", "held")]) for t in "ab")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == x.key
+    rest = x.join(y, (x.key == y.key) & apart & once & _similar(F.col("held_a"), F.col("held_b"), similarity))
+    return written(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
+
+
+def joined(members: DataFrame, held: DataFrame, similarity: float, shingled: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(a, b) of similar nodes that share a key of members (key, node): enough pairs to join all that are.
+
+    held has each node's content (node, held), whose set of hashed shingles ``shingled`` gives.
+    """
+    groups = _open(members)
+    out = written(_star(groups, held, similarity, shingled), "links")
+    # every node has met its bucket's first one; what is left are the others, if they aren't joined
+    left = _open(groups.where("node != first"), _hooked(out))
+    out = out.unionByName(_rest(left.where(F.col("size") <= SMALL), held, similarity, shingled))
+    large = left.where(F.col("size") > SMALL).select("node").distinct()
+    if large.limit(1).count():
+        sets = written(large.join(held, "node").select("node", shingled(F.col("held")).alias("held")), "sets")
+        groups = _open(_rare(sets, similarity), _hooked(out))
+        out = written(out.unionByName(_star(groups, sets, similarity, lambda c: c)), "links")
+        left = _open(groups.where("node != first"), components(out))
+        out = out.unionByName(_rest(left, sets, similarity, lambda c: c))
+    return out
 
 
 def _rare(sets: DataFrame, similarity: float) -> DataFrame:
     """(key, node): the rarest shingles of each node, so many that two similar nodes have one of them in common."""
-    each = sets.select("node", F.explode("sh").alias("key"))
+    each = sets.select("node", F.explode("held").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("f"))
     ranked = each.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("r"))
     n = F.size("r")
-    prefix = F.slice("r", 1, (n - F.ceil(n * F.lit(similarity)) + 1).cast("int"))
+    prefix = F.slice("r", 1, (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
     return ranked.select("node", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("p")).select(F.col("p.key").alias("key"), "node")
 
 
-def links(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of similar lines that share a bucket: enough pairs to join all that are."""
-    spark = members.sparkSession
-    release(spark)
-    # the hashed shingles of all candidates, fetched once
-    hashed = F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))
-    sets = written(lines.select("node", "line").join(members.select("node").distinct(), "node").select("node", hashed.alias("sh")), "line-sets")
-    release(spark)
-    return joined(members, sets, similarity)
-
-
-def joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of similar nodes that share a key of members (key, node): enough pairs to join all that are. sets has each node's hashed shingles (node, sh)."""
-    out = checkpointed(_star(_open(members, None), sets, similarity))
-    left = _open(members, _hooked(out), 1).select("node").distinct()
-    groups = checkpointed(_rare(sets.join(left, "node"), similarity))
-    out = checkpointed(out.unionByName(_star(_open(groups, _hooked(out), 2), sets, similarity)))
-    left = _open(groups, components(out), 3).select("key", "node", "root").join(sets, "node")
-    x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("sh").alias(f"sh_{n}")) for n in "ab")
-    # the similarity is a condition of the join: pairs that fail it are not listed
-    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _similar("sh_a", "sh_b", similarity))
-    return checkpointed(out.unionByName(rest.select("a", "b").distinct()))
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, at, component, kept) of each line with a word that has an equal or similar line elsewhere.
-
-    kept marks the first line of its component by (id, line number). Rows with one id count as one document: equal
-    places are one place. A null id comes last. Null texts have no lines; blank lines are left alone. An empty table
-    gives an empty table.
-    """
-    lines = occurrences(docs, id_col, text_col)
-    each = nodes(lines, bands, rows, similarity=similarity)
-    release(docs.sparkSession)
-    found = links(buckets(each), each, similarity)
-    release(docs.sparkSession)
-    roots = components(found)
+def _places(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """(row, id, lines) of every row; lines has (at, k1, k2) of each line with a word, at counting all lines from 0."""
+    split = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
+    lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("at"), F.when(x.rlike(r"\S"), F.xxhash64(x)).alias("k1"), F.xxhash64(F.lit(7), x).alias("k2"))), lambda x: x["k1"].isNotNull())
+    return docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), lines.alias("lines"))
+
+
+def find(docs: DataFrame, places: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(row, at, component, kept) of each line with a word that has an equal or similar line elsewhere. places are those of docs."""
+    lines = lines_of(docs, text_col)
+    each = written(nodes(lines), "line-nodes")
+    sizes = each.agg(F.count("*").alias("nodes"), F.sum("n").alias("lines")).first()
+    total = sizes["lines"] or 0
+    members = shared(entries(each), sizes["nodes"] * len(BANDS))
+    wanted = written(each.select("node", "k1", "k2", "n").join(members.select("node").distinct(), "node"), "wanted")
+    held = written(attach(lines, wanted, ["k1", "k2"], "n", total).select("node", F.col("line").alias("held")).distinct(), "line-texts")
+    roots = components(joined(members, held, similarity, hashed))
     groups = each.select("node", "k1", "k2", "n").join(roots, "node", "left").where("n > 1 or root is not null")
-    groups = checkpointed(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")))
-    placed = written(lines.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")), "line-places")
-    held = checkpointed(attach(placed, groups, ["k1", "k2"], "n", placed.count()).select("id", "at", "component", "n"))
-    doc = held.groupBy("component").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"))
-    at = attach(held, doc, ["component"], "rows", held.count()).where("id = first_id").groupBy("component").agg(F.min("at").alias("first_at"))
-    whole = checkpointed(doc.join(at, "component"))
-    out = attach(held, whole, ["component"], "rows", held.count())
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "at", "component", ((F.col("id") == F.col("first_id")) & (F.col("at") == F.col("first_at"))).alias("kept"))
-
-
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, drop): the sorted numbers of the lines that go, of each id that has any."""
-    gone = find(docs, id_col, text_col, similarity, bands, rows).where(~F.col("kept"))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("drop"))
-
-
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text without the lines that go; null texts stay null."""
-    gone = dropped(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "drop")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col(id_col).cast("long").alias("key"))
-    both = keyed.join(gone, F.col("key").eqNullSafe(F.col("gone_id")), "left")
-    text = F.array_join(F.filter(F.split(F.col(f"row.{text_col}"), "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    clean = F.when(F.col("drop").isNull(), F.col(f"row.{text_col}")).otherwise(text)
+    groups = written(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")), "line-groups")
+    placed = places.select("row", "id", F.explode("lines").alias("x")).select("row", "id", "x.at", "x.k1", "x.k2")
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at").alias("place")
+    held = written(attach(placed, groups, ["k1", "k2"], "n", total).select(at, "component"), "copies")
+    whole = written(held.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("size")), "firsts")
+    out = attach(held, whole, ["component"], "size", held.count())
+    return out.select("place.row", "place.at", "component", F.col("place").eqNullSafe(F.col("first")).alias("kept"))
+
+
+def _gone(found: DataFrame) -> DataFrame:
+    """(row, drop): the sorted numbers of the lines that go, of each row that has any."""
+    return found.where(~F.col("kept")).groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns and rows kept, with text without the lines that go.
+
+    Of a component of lines the first one by (id, row, line number) stays; null ids come last, and rows that share an
+    id, or have none, are documents of their own: a repeated row loses its lines to the first of them. Null texts stay
+    null, empty ones empty; blank lines are left alone. Lines are read whole, however long. An empty table gives an
+    empty table.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        keyed = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered", keep=True)
+        flat = keyed.select(F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"), "number")
+        places = written(_places(flat, "id", "text", F.col("number")), "places")
+        gone = written(_gone(find(flat, places, "text", similarity)), "gone", keep=True)
+    both = keyed.join(gone.withColumnRenamed("row", "gone_row"), F.col("number") == F.col("gone_row"), "left")
+    text = F.col(f"row.`{text_col}`")
+    clean = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n"))
     return both.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_dropped, dropped) of every row: its lines with a word, and how many and which of them go."""
-    gone = dropped(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "drop")
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-    all_ = docs.select(F.col(id_col).cast("long").alias("id"), F.size(lines).cast("long").alias("n_lines"))
-    out = all_.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, n_lines, n_dropped, dropped) of every row: its lines with a word, and how many and which of them ``drop_lines`` drops."""
+    with scratch(docs.sparkSession):
+        places = written(_places(docs, id_col, text_col, F.monotonically_increasing_id()), "places", keep=True)
+        gone = written(_gone(find(docs, places, text_col, similarity)), "gone", keep=True)
+    out = places.select("row", "id", F.size("lines").cast("long").alias("n_lines")).join(gone, "row", "left")
     drop = F.coalesce("drop", F.array().cast("array<int>"))
     return out.select("id", "n_lines", F.size(drop).cast("long").alias("n_dropped"), drop.alias("dropped"))
-
-
-def expected_recall(similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> float:
-    return math.floor(1000 * _recall(bands, rows, similarity)) / 1000

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import attach, checkpointed, release, ship, written
+from wayfold.llm.common import attach, checkpointed, ship, written
 from wayfold.llm.components import components
 from wayfold.llm.fuzzy_lines import joined
 from wayfold.llm.simhash import SEED, staying
@@ -92,7 +92,6 @@ def candidates(each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, node) of the prefixes of nodes whose size and sketch allow that another node of the same key is similar."""
     entries = each.select(F.explode("prefix").alias("key"), "node")
     shared = checkpointed(entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").select("key", "node"))
-    release(each.sparkSession)
     light = checkpointed(shared.join(each.drop("prefix", "i", "h"), "node"))
     x, y = (light.select([F.col(c).alias(f"{t}_{c}") for c in light.columns]) for t in "xy")
     apart = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
@@ -123,13 +122,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
     each = marks(keyed, similarity)
-    release(docs.sparkSession)
     members = candidates(each, similarity)
-    release(docs.sparkSession)
     held = sets(keyed, members.select("node").distinct())
-    release(docs.sparkSession)
     roots = components(joined(members, held, similarity))
-    release(docs.sparkSession)
     rooted = each.select("node", "i", "h").join(roots, "node", "left")
     rooted = checkpointed(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"))
     whole = checkpointed(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"))
