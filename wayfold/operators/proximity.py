@@ -1,6 +1,6 @@
-"""Set-oriented joins of trajectories: by vertices close in space within one time bucket, and by points on their lines.
+"""Set-oriented joins of trajectories: by vertices close in space within one time bucket, by points on their lines, and by instants within their spans.
 
-Both turn a predicate over all pairs into an equi-join on grid cells (and time buckets): rows meet only if they share
+All turn a predicate over all pairs into an equi-join on grid cells (and time buckets): rows meet only if they share
 a cell, and one hot bucket is spread over its cells. The exact predicate decides after the join.
 """
 
@@ -45,15 +45,47 @@ def tdwithin_pairs(left: DataFrame, right: DataFrame, metres: float, precision:
     return pairs.select(left_id, right_id).distinct()
 
 
-def lines_at_points(lines: DataFrame, points: DataFrame, metres: float, line_id: str, point_id: str, t: str = "t", point: str = "point", cell: float = 0.25) -> DataFrame:
+def cell_for(points: DataFrame, point: str, metres: float) -> float:
+    """A cell side that gives each cell about one point where points lie evenly: fewer cells make more pairs to test, more cells more entries for a segment."""
+    r = points.selectExpr(f"{point}.x AS x", f"{point}.y AS y").agg(F.count("x").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    area = max(r["w"] or 0.0, LEAST_CELL) * max(r["h"] or 0.0, LEAST_CELL)
+    return max((area / max(r["n"], 1)) ** 0.5, metres / g.METRES_PER_DEGREE, LEAST_CELL)
+
+
+def lines_at_points(lines: DataFrame, points: DataFrame, metres: float, line_id: str, point_id: str, t: str = "t", point: str = "point", cell: float | None = None) -> DataFrame:
     """Distinct (line_id, point_id) for which passes_point(line, point, metres) holds.
 
-    Each segment is put into the cells that its box, widened by the distance, touches; each point into its own.
+    Each segment is put into the cells that it passes within the distance, column by column along the line; each point
+    into its own. Without a cell side given, it follows from the points' density (one aggregate over them).
     """
     reach = metres / g.METRES_PER_DEGREE
-    low = lambda c: f"CAST(floor((least(s.a{c}, s.b{c}) - {reach!r}D) / {cell!r}D) AS INT)"
-    high = lambda c: f"CAST(floor((greatest(s.a{c}, s.b{c}) + {reach!r}D) / {cell!r}D) AS INT)"
-    segments = lines.select(line_id, F.explode(F.expr(g.segments(t))).alias("s"))
-    celled = segments.select(line_id, "s", F.explode(F.expr(f"sequence({low('x')}, {high('x')})")).alias("cx")).select(line_id, "s", "cx", F.explode(F.expr(f"sequence({low('y')}, {high('y')})")).alias("cy"))
-    own = points.selectExpr(point_id, f"{point} AS q", f"CAST(floor({point}.x / {cell!r}D) AS INT) AS cx", f"CAST(floor({point}.y / {cell!r}D) AS INT) AS cy")
-    return celled.join(own, ["cx", "cy"]).where(g.near_segment('s', 'q.x', 'q.y', f"{reach!r}D")).select(line_id, point_id).distinct()
+    cell = cell_for(points, point, metres) if cell is None else cell
+    slack = reach + 1e-9  # and what rounding may move a crossing
+    at = lambda v: f"CAST(floor({v} / {cell!r}D) AS INT)"
+    segments = lines.select(line_id, F.explode(F.expr(g.segments(t))).alias("s")).selectExpr(line_id, "s.ax AS ax", "s.ay AS ay", "s.bx AS bx", "s.by AS by")
+    columns = segments.select("*", F.explode(F.expr(f"sequence({at(f'(least(ax, bx) - {slack!r}D)')}, {at(f'(greatest(ax, bx) + {slack!r}D)')})")).alias("cx"))
+    # the part of the segment within the column, widened on both sides
+    x = lambda edge: f"greatest(least(ax, bx), least(greatest(ax, bx), {edge}))"
+    y = lambda v: f"CASE WHEN ax = bx THEN ay ELSE ay + ({v} - ax) / (bx - ax) * (by - ay) END"
+    part = columns.selectExpr("*", f"{y(x(f'(cx * {cell!r}D - {slack!r}D)'))} AS y0", f"CASE WHEN ax = bx THEN by ELSE {y(x(f'((cx + 1) * {cell!r}D + {slack!r}D)'))} END AS y1")
+    celled = part.select(line_id, "ax", "ay", "bx", "by", "cx", F.explode(F.expr(f"sequence({at(f'(least(y0, y1) - {slack!r}D)')}, {at(f'(greatest(y0, y1) + {slack!r}D)')})")).alias("cy"))
+    own = points.selectExpr(point_id, f"{point}.x AS qx", f"{point}.y AS qy", f"{at(f'{point}.x')} AS cx", f"{at(f'{point}.y')} AS cy")
+    near = g.near_segment("s", "qx", "qy", f"{reach!r}D").replace("s.", "")
+    return celled.join(own, ["cx", "cy"]).where(near).select(line_id, point_id).distinct()
+
+
+def positions_at(lines: DataFrame, instants: DataFrame, line_id: str, instant_id: str, t: str = "t", instant: str = "instant", bucket: int = 6 * 3_600_000) -> DataFrame:
+    """(line_id, instant_id, x, y): point_at_timestamp of every line at every instant within its span.
+
+    Segments meet instants in time buckets of ``bucket`` milliseconds: a segment is put into all those it lasts through.
+    Each instant belongs to the segment that starts at or before it, the last vertex to one of its own.
+    """
+    end = "IF(i + 1 < size({t}), {t}[i + 1], v)".format(t=t)
+    vertices = lines.select(line_id, F.expr(f"explode(transform({t}, (v, i) -> named_struct('v', v, 'w', {end}, 'last', i + 1 = size({t}))))").alias("s"))
+    s = vertices.selectExpr(line_id, "s.v.x AS ax", "s.v.y AS ay", "s.v.m AS am", "s.w.x AS bx", "s.w.y AS by", "s.w.m AS bm", "s.last AS last")
+    of = lambda m: f"CAST(floor({m} / {bucket}) AS BIGINT)"
+    s = s.select("*", F.expr(f"explode(sequence({of('am')}, {of('bm')}))").alias("bucket"))
+    q = instants.selectExpr(instant_id, f"CAST({g.millis(instant)} AS DOUBLE) AS im").selectExpr("*", f"{of('im')} AS bucket")
+    met = s.join(q, "bucket").where("im >= am AND IF(last, im = am, im < bm)")
+    share = "IF(abs(bm - am) < 1e-6D, 0D, (im - am) / (bm - am))"
+    return met.selectExpr(line_id, instant_id, f"IF(im = am, ax, ax + {share} * (bx - ax)) AS x", f"IF(im = am, ay, ay + {share} * (by - ay)) AS y")

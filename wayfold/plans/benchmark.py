@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import macros as g
-from wayfold.operators.proximity import lines_at_points, tdwithin_pairs
+from wayfold.operators.proximity import lines_at_points, positions_at, tdwithin_pairs
 from wayfold.plans import crop as crops
 from wayfold.plans import dataset as d
 
@@ -207,9 +207,22 @@ def _meetings(spark: SparkSession, sf_dir: str, metres: float, precision: str, l
 
 _NEAR = "SELECT DISTINCT {a}.licence AS licence1, {b}.licence AS licence2 FROM v p JOIN datamcar c1 ON p.moid = c1.moid JOIN v q ON {bucket} JOIN datamcar c2 ON q.moid = c2.moid WHERE {where} AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= {reach!r}::DOUBLE"
 _frame("q6", lambda spark, sf: _meetings(spark, sf, 10_000, "minute", lambda c: c.where("type = 'truck'"), lambda c: c.where("type = 'truck'"), "licence1 < licence2"), _NEAR.format(a="c1", b="c2", bucket="p.m // 60000 = q.m // 60000", where="c1.type = 'truck' AND c2.type = 'truck' AND c1.licence < c2.licence", reach=10_000 / g.METRES_PER_DEGREE))
-_sql(
+
+
+def _q7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by grid cells first; only their lines are searched for the time."""
+    c = d.cars(spark, sf_dir).where("type = 'passenger'").select("moid", "licence")
+    trips, points = d.trips(spark, sf_dir).join(c, "moid").select("trip_id", "licence", "t"), d.points(spark, sf_dir)
+    pairs = lines_at_points(trips, points, 0.0, "trip_id", "point_id")
+    met = pairs.join(points, "point_id").join(trips, "trip_id").selectExpr("licence", "point_id", "timestamp_at_position(t, point) AS first")
+    hits = met.groupBy("licence", "point_id").agg(F.min("first").alias("first"))
+    least = hits.groupBy("point_id").agg(F.min("first").alias("first"))
+    return hits.join(least, ["point_id", "first"]).selectExpr("licence", "point_id", "unix_millis(CAST(first AS TIMESTAMP)) AS ms")
+
+
+_frame(
     "q7",
-    "WITH hits AS (SELECT c.licence, p.point_id, min(timestamp_at_position(t.t, p.point)) AS first FROM trips t JOIN datamcar c ON t.moid = c.moid AND c.type = 'passenger' JOIN points p ON p.point.x BETWEEN t.xmin AND t.xmax AND p.point.y BETWEEN t.ymin AND t.ymax AND passes_point(t.t, p.point, 0) GROUP BY c.licence, p.point_id), least_ AS (SELECT point_id, min(first) AS first FROM hits GROUP BY point_id) SELECT h.licence, h.point_id, unix_millis(CAST(h.first AS TIMESTAMP)) AS ms FROM hits h JOIN least_ l ON h.point_id = l.point_id AND h.first = l.first",
+    _q7,
     f""", seen AS (SELECT c.licence, q.point_id, CASE WHEN s.ax = q.px AND s.ay = q.py THEN s.t0 WHEN s.bx = q.px AND s.by = q.py THEN s.t1 ELSE round(s.t0 + (s.t1 - s.t0) * sqrt(((q.px - s.ax) ** 2 + (q.py - s.ay) ** 2) / ((s.bx - s.ax) ** 2 + (s.by - s.ay) ** 2)))::BIGINT END AS ms
 FROM s JOIN points q ON s.n > 1 AND {ON} JOIN datamcar c ON s.moid = c.moid AND c.type = 'passenger'), h AS (SELECT licence, point_id, min(ms) AS ms FROM seen GROUP BY ALL)
 SELECT licence, point_id, ms::BIGINT AS ms FROM h QUALIFY ms = min(ms) OVER (PARTITION BY point_id)""",
@@ -226,11 +239,26 @@ _sql(
     "SELECT period_id, max(distance) AS longest FROM (SELECT moid, period_id, round(sum(sqrt((bx - ax) ** 2 + (by - ay) ** 2)), 6) AS distance FROM clip WHERE cb > ca OR t0 = t1 GROUP BY ALL) GROUP BY period_id",
 )
 _frame("q10", lambda spark, sf: _meetings(spark, sf, 3_000, "hour", lambda c: c.join(F.broadcast(d.sample(d.licences(spark, sf), "licence_id").select("licence")), "licence"), lambda c: c, "licence1 <> licence2"), _NEAR.format(a="l", b="c2", bucket="p.m // 3600000 = q.m // 3600000", where="c1.licence <> c2.licence", reach=3_000 / g.METRES_PER_DEGREE).replace("JOIN v q", "JOIN licences1 l ON l.licence = c1.licence JOIN v q"))
-_AT = "SELECT t.moid, p.point_id, i.instant_id FROM trips t JOIN instants i ON t.tmin <= unix_millis(CAST(i.instant AS TIMESTAMP)) AND t.tmax >= unix_millis(CAST(i.instant AS TIMESTAMP)) JOIN points p ON point_at_timestamp(t.t, i.instant) = p.point"
+
+
+def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(licence, point_id, instant_id): vehicles that are at a point at an instant; no two growing sides meet but by bucket or position."""
+    trips = d.trips(spark, sf_dir)
+    place = positions_at(trips, d.instants(spark, sf_dir), "moid", "instant_id")
+    points = d.points(spark, sf_dir).selectExpr("point_id", "point.x AS x", "point.y AS y")
+    return place.join(points, ["x", "y"]).join(d.cars(spark, sf_dir).select("moid", "licence"), "moid").select("licence", "point_id", "instant_id").distinct()
+
+
+def _q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _sightings(spark, sf_dir)
+    a, b = (k.withColumnRenamed("licence", f"licence{i}") for i in (1, 2))
+    return a.join(b, ["point_id", "instant_id"]).where("licence1 <= licence2").select("licence1", "licence2", "point_id", "instant_id").distinct()
+
+
 _OAT = f""", place AS (SELECT s.moid, q.instant_id, CASE WHEN s.t0 = q.im THEN s.ax WHEN s.t1 = q.im THEN s.bx ELSE s.ax + (q.im - s.t0)::DOUBLE / (s.t1 - s.t0) * (s.bx - s.ax) END AS x, CASE WHEN s.t0 = q.im THEN s.ay WHEN s.t1 = q.im THEN s.by ELSE s.ay + (q.im - s.t0)::DOUBLE / (s.t1 - s.t0) * (s.by - s.ay) END AS y FROM s JOIN instants q ON s.t0 <= q.im AND s.t1 >= q.im),
 seen AS (SELECT DISTINCT moid, point_id, instant_id FROM place JOIN points ON x = px AND y = py) """
-_sql("q11", f"SELECT DISTINCT c.licence, k.point_id, k.instant_id FROM ({_AT}) k JOIN datamcar c ON k.moid = c.moid", _OAT + "SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)")
-_sql("q12", f"WITH k AS (SELECT DISTINCT c.licence, a.point_id, a.instant_id FROM ({_AT}) a JOIN datamcar c ON a.moid = c.moid) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, a.point_id, a.instant_id FROM k a JOIN k b ON a.point_id = b.point_id AND a.instant_id = b.instant_id AND a.licence <= b.licence", _OAT + ", k AS (SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, point_id, instant_id FROM k a JOIN k b USING (point_id, instant_id) WHERE a.licence <= b.licence")
+_frame("q11", _sightings, _OAT + "SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)")
+_frame("q12", _q12, _OAT + ", k AS (SELECT DISTINCT licence, point_id, instant_id FROM seen JOIN datamcar USING (moid)) SELECT DISTINCT a.licence AS licence1, b.licence AS licence2, point_id, instant_id FROM k a JOIN k b USING (point_id, instant_id) WHERE a.licence <= b.licence")
 _CUTS = PIP.replace("FROM v CROSS JOIN e", "FROM pv v CROSS JOIN e").replace("v.trip_id, v.i, v.n,", "v.moid, v.period_id,").replace("inn AS (", "inn AS (").split("cut AS")[0]
 _CLIPPED = (
     ", cl AS (SELECT * FROM clip WHERE cb > ca OR t0 = t1 UNION ALL SELECT v.trip_id, v.moid, p.period_id, v.m, v.m, v.m, v.m, v.x, v.y, v.x, v.y FROM v JOIN periods1 p ON v.m = p.pb WHERE v.i = 1 AND v.n > 1), pv AS (SELECT DISTINCT moid, period_id, ax AS x, ay AS y FROM cl UNION SELECT DISTINCT moid, period_id, bx, by FROM cl) "
@@ -241,7 +269,7 @@ _CLIPPED = (
 )
 
 
-def _q13(trips: str) -> str:
+def q13_over(trips: str) -> str:
     return (
         "SELECT DISTINCT c.licence, k.period_id, r.polygon_id FROM (SELECT t.moid, t.xmin, t.xmax, t.ymin, t.ymax, p.period_id, subpolyline_between(t.t, p.start_period, p.end_period) AS part "
         f"FROM {trips} t JOIN periods1 p ON t.tmin <= unix_millis(CAST(p.end_period AS TIMESTAMP)) AND t.tmax >= unix_millis(CAST(p.start_period AS TIMESTAMP))) k "
@@ -249,7 +277,7 @@ def _q13(trips: str) -> str:
     )
 
 
-_sql("q13", _q13("trips"), _CLIPPED)
+_sql("q13", q13_over("trips"), _CLIPPED)
 _sql("q14", f"SELECT DISTINCT c.licence, k.instant_id, r.polygon_id FROM (SELECT t.moid, i.instant_id, point_at_timestamp(t.t, i.instant) AS p FROM trips t JOIN instants1 i ON present(t.t, i.instant)) k JOIN regions1 r ON st_contains(r.polygon, k.p) JOIN datamcar c ON k.moid = c.moid", PIP.replace("FROM v CROSS JOIN e", "FROM sight v CROSS JOIN e").replace("v.trip_id, v.i, v.n,", "v.moid, v.instant_id,").split("cut AS")[0].rstrip().rstrip(",") + " SELECT DISTINCT licence, instant_id, polygon_id FROM inn JOIN datamcar USING (moid) WHERE interior")
 _sql(
     "q15",
@@ -283,21 +311,3 @@ def _q17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _frame("q17", _q17, f", h AS (SELECT q.point_id, count(DISTINCT s.moid) AS hits FROM s JOIN points q ON {ON} GROUP BY ALL) SELECT point_id, hits FROM h WHERE hits = (SELECT max(hits) FROM h)")
-
-
-def _federated(decode: bool):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """q13 with the trips of two stores put together: natively typed ones, and the others as they come (EWKB from a database)."""
-        d.views(spark, sf_dir)
-        trips = spark.table("trips")
-        own, other = trips.where("moid % 2 = 0"), trips.where("moid % 2 = 1")
-        if decode:
-            other = other.selectExpr("* EXCEPT (t)", "trajectory_to_wkb(t) AS b").selectExpr("* EXCEPT (b)", "wkb_to_trajectory(b) AS t")
-        own.unionByName(other).createOrReplaceTempView("all_trips")
-        return spark.sql(_q13("all_trips"))
-
-    return run
-
-
-_frame("q21", _federated(False), _CLIPPED)
-_frame("q22", _federated(True), _CLIPPED)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import benchmark, relational
+from wayfold.plans import benchmark, relational, source_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**benchmark.QUERIES, **relational.QUERIES}
-ORACLES: dict[str, str] = {**benchmark.ORACLES, **relational.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**benchmark.QUERIES, **relational.QUERIES, **source_queries.QUERIES}
+ORACLES: dict[str, str] = {**benchmark.ORACLES, **relational.ORACLES, **source_queries.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@
 from __future__ import annotations
 
 import csv
-import glob
 import importlib
-import os
+import io
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,20 +20,30 @@ def named(text: str):
     return getattr(importlib.import_module(module), name)
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it: a local path, or a URI of any store that pyarrow opens."""
+    if path.startswith("file:"):
+        path = "file://" + "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 class FoldReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self):
-        path = self.options["path"]
-        files = sorted(f for f in glob.glob(os.path.join(path, "*")) if os.path.isfile(f)) if os.path.isdir(path) else [path]
-        if not files or not os.path.exists(files[0]):
+        store, path = located(self.options["path"])
+        info = store.get_file_info(path)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        names = sorted(f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")))
+        if not names:
             raise ValueError(f"nothing to read in: {path}")
-        return [InputPartition(f) for f in files]
+        return [InputPartition(f) for f in names]
 
     def read(self, partition) -> Iterator[tuple]:
         fold = named(self.options["fold"])
-        with open(partition.value, newline="") as f:
+        store, _ = located(self.options["path"])
+        with io.TextIOWrapper(store.open_input_stream(partition.value), encoding="utf-8", newline="") as f:
             rows = csv.reader(f)
             if self.options.get("header", "true") == "true":
                 next(rows, None)
@@ -41,7 +51,7 @@ class FoldReader(DataSourceReader):
 
 
 class FoldSource(DataSource):
-    """format("wayfold_fold"): the files must be in a folder that all executors share."""
+    """format("wayfold_fold"): the files must be where all executors reach them."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,6 +6,7 @@ Trajectories travel as EWKB: binary when read, hex text when written.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,11 @@ def _checked(name: str) -> str:
     return name
 
 
+def _quoted(name: str) -> str:
+    """A column as the database spells it."""
+    return '"' + name.replace('"', '""') + '"'
+
+
 @dataclass
 class Store:
     """One database. ``options`` are Spark's JDBC options such as user, password and driver."""
@@ -56,9 +62,11 @@ class Store:
             self.spark.conf.set(f"{prefix}.{key}", value)
 
     def decoded(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        """df with EWKB columns read: columns maps a name to trajectory, polygon or point."""
+        """df with EWKB columns read, binary or hex text: columns maps a name to trajectory, polygon or point."""
         function = {"trajectory": "wkb_to_trajectory", "polygon": "polygon_from_wkb", "point": "point_from_wkb"}
-        return df.select(*[F.expr(f"{function[columns[c]]}({c})").alias(c) if c in columns else F.col(c) for c in df.columns])
+        kinds = dict(df.dtypes)
+        cell = lambda c: f"unhex(`{c}`)" if kinds[c] == "string" else f"`{c}`"
+        return df.select(*[F.expr(f"{function[columns[c]]}({cell(c)})").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
     def write(self, df: DataFrame, name: str, mode: str = APPEND, key: list[str] | None = None) -> None:
         """Writes df's rows.
@@ -73,22 +81,27 @@ class Store:
         if unknown:
             raise ValueError(f"{name} has no column {sorted(unknown)}")
         wkb = [f.name for f in df.schema if f.dataType.simpleString().replace(" ", "") == "array<struct<x:double,y:double,m:double>>"]
-        df = df.select(*[F.expr(f"hex(trajectory_to_wkb({c}))").alias(c) if c in wkb else F.col(c) for c in df.columns])
+        df = df.select(*[F.expr(f"hex(trajectory_to_wkb(`{c}`))").alias(c) if c in wkb else F.col(f"`{c}`") for c in df.columns])
         writer = lambda d, table, how: d.write.format("jdbc").option("url", self.url).options(**self.options).option("dbtable", table).mode(how).save()
         if mode == APPEND:
             writer(df, _checked(name), "append")
             return
         if mode not in (OVERWRITE, REPLACE) or (mode == REPLACE and not key):
             raise ValueError(f"mode {mode!r} with key {key!r}")
-        staging = f"{_checked(name)}_staging"
-        writer(df, staging, "overwrite")
-        columns = ", ".join(df.columns)
-        match = " AND ".join(f"{name}.{_checked(k)} = {staging}.{k}" for k in key or [])
-        clear = f"DELETE FROM {name}" + (f" WHERE EXISTS (SELECT 1 FROM {staging} WHERE {match})" if mode == REPLACE else "")
-        self.execute([clear, f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {staging}", f"DROP TABLE {staging}"])
-
-    def execute(self, statements: list[str]) -> None:
-        """Statements in one transaction, from the driver."""
+        staging = f"{_checked(name)}_{uuid.uuid4().hex[:12]}"
+        try:
+            writer(df, staging, "overwrite")
+            own = {c.lower(): c for c in target}
+            into, columns = (", ".join(_quoted(c) for c in names) for names in ([own[c.lower()] for c in df.columns], df.columns))
+            staged = {c.lower(): c for c in df.columns}
+            match = " AND ".join(f"{name}.{_quoted(own[k.lower()])} = {staging}.{_quoted(staged[k.lower()])}" for k in key or [])
+            clear = f"DELETE FROM {name}" + (f" WHERE EXISTS (SELECT 1 FROM {staging} WHERE {match})" if mode == REPLACE else "")
+            self.execute([clear, f"INSERT INTO {name} ({into}) SELECT {columns} FROM {staging}"])
+        finally:
+            self.execute([f"DROP TABLE {staging}"], missing=True)
+
+    def execute(self, statements: list[str], missing: bool = False) -> None:
+        """Statements in one transaction, from the driver. With ``missing`` a failure, such as a table that isn't there, is no error."""
         jvm = self.spark.sparkContext._jvm
         properties = jvm.java.util.Properties()
         for k, v in self.options.items():
@@ -105,6 +118,7 @@ class Store:
             connection.commit()
         except Exception:
             connection.rollback()
-            raise
+            if not missing:
+                raise
         finally:
             connection.close()
