@@ -3,8 +3,8 @@ from collections import defaultdict
 import corpus_pipeline as pipeline
 import pytest
 
-from tests.llm.test_dedup import plain_components, plain_fingerprint
-from wayfold.llm import langid, quality, simhash
+from tests.llm.test_near_dedup import plain_staying
+from wayfold.llm import langid, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,22 +41,13 @@ def test_copies(stages):
     for r in stages[2].collect():
         top[r["text"]] = max(top[r["text"]], r["doc_id"])
     assert ids(stages[3]) == sorted(top.values())
-    found = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in stages[3].collect()])
-    assert ids(stages[4]) == sorted({c for _, _, c in found})
+    assert ids(stages[4]) == plain_staying([(r["doc_id"], r["text"]) for r in stages[3].collect()])
 
 
 def test_packing_holds_every_document(stages):
     assert sorted({r["doc_id"] for r in stages[5].collect()}) == ids(stages[4])
 
 
-def test_near_stage_on_odd_rows(docs, rows, empty):
-    out = simhash.drop_near_duplicates(docs)
-    assert out.columns == docs.columns
-    least = {c for _, _, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])}
-    assert sorted(r["doc_id"] for r in out.collect()) == sorted(least)
-    assert simhash.drop_near_duplicates(empty).count() == 0
-
-
 def test_empty_documents(spark, empty):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in pipeline.STAGES:

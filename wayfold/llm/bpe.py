@@ -18,12 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship
+from wayfold.llm.common import ship, with_columns
 
 #: Longest piece merged side by side with others.
 WIDE = 64
 #: Chunks and pieces that a worker remembers, each; a full table is begun anew when more than STALE of a batch isn't in it.
 CACHE = 700_000
+#: Longer ones, in characters, aren't remembered: so a table holds at most CACHE times some 300 bytes.
+LONG = 64
 STALE = 0.25
 #: Rows merged side by side at once.
 ROWS = 8192
@@ -44,6 +46,10 @@ def _places(values: list) -> Iterator[int]:
         yield at
 
 
+def _short(table: dict) -> dict:
+    return {k: v for k, v in table.items() if len(k) <= LONG}
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file and splitting pattern."""
 
@@ -202,10 +208,9 @@ class ByteBPE:
             return [table[p] for p in pieces]
         new = self._merged(unseen)
         if len(table) < CACHE:
-            table.update(new)
-            return [table[p] for p in pieces]
-        if len(unseen) > STALE * len(pieces):
-            self.pieces = new
+            table.update(_short(new))
+        elif len(unseen) > STALE * len(pieces):
+            self.pieces = _short(new)
         return [new[p] if p in new else table[p] for p in pieces]
 
     def _whole(self, text: str) -> bytes:
@@ -257,9 +262,9 @@ class ByteBPE:
             new_head, new_tail = self._learn(first, ""), self._learn(later, " ")
             for space, known, new in (("", head, new_head), (" ", tail, new_tail)):
                 if len(known) < CACHE:
-                    known.update(new)
+                    known.update(_short(new))
                 elif sum(map(len, gaps)) > STALE * sum(map(len, split)):
-                    self.chunks[space] = new
+                    self.chunks[space] = _short(new)
             for t, chunks, vs, js in zip(part, split, values, gaps, strict=True):
                 for j in js:
                     vs[j] = (new_tail if j else new_head)[chunks[j]]
@@ -288,7 +293,7 @@ def _ranks(df: DataFrame, path: str):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row: the ids that the tiktoken library's encode_ordinary gives. A null text counts as empty; an empty text has no ids. An empty table gives an empty table."""
     data = _ranks(docs, path)
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(data.value, pattern)
@@ -304,16 +309,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a binary column ``decoded``: the bytes of the ids. Null ids give null bytes; an unknown id is an error."""
+    """encoded with a last binary column ``decoded`` (decoded_2 where it has that name already): the bytes of the ids.
+
+    Null ids give null bytes, no ids no bytes; an unknown id is an error. An empty table gives an empty table.
+    """
     data = _ranks(encoded, path)
+    at = encoded.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = _bpe(data.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = [None if x is None else bpe.decode(x) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+        column = batch.column(at)
+        return [pa.array([None if x is None else bpe.decode(x) for i in range(0, len(column), 500) for x in column.slice(i, 500).to_pylist()], pa.binary())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
-    return encoded.select(*[f"`{f.name}`" for f in encoded.schema if f.name != "decoded"]).mapInArrow(run, f"{fields}, decoded binary")
+    return with_columns(encoded, run, [("decoded", "binary")])

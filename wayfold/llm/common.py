@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wayfold.functions.shipping import ship as ship_package
 
@@ -108,3 +110,28 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     hot = F.broadcast(right.where(F.col(weight) > limit))
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= limit), keys)
     return left.join(hot, keys).unionByName(rest)
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, or with the first number from 2 that no column of that name (in any case) has: new columns replace none."""
+    taken, out, k = {c.lower() for c in columns}, name, 1
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def with_columns(docs: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], new: list[tuple[str, str]]) -> DataFrame:
+    """docs with the columns that run gives for each Arrow batch, of the names and types ``new``; a name that is taken gets a number (``free``). Columns go by place, so any names will do."""
+    names = docs.columns
+    added = [f"n{i}" for i in range(len(new))]
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    for n, (_, t) in zip(added, new, strict=True):
+        schema = schema.add(n, t)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(batch)], names=[*batch.schema.names, *added])
+
+    out = docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(each, schema)
+    return out.toDF(*names, *[free(names, n) for n, _ in new])

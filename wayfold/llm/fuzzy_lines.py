@@ -1,19 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are its SHINGLE-character substrings at every position, lower-cased; a line of up to that length is
-one shingle. (The signatures read UTF-16 units, the exact comparison characters.) Equal lines are one node. Its
-signature has PERMUTATIONS independent minima over the hashes of all its shingles; BANDS names the triples of them
-that are keys. The triples are the lines of an affine plane, so nine minima give twelve keys and two lines of
-similarity s share one with the chance that ``expected_recall`` adds up: 0.99 at 0.8, for short lines as for long
-ones. The minima are taken STEP positions a row, by a plain aggregate. Lines that share a key are candidates:
-
-* each line of a bucket with the bucket's first line; union-find joins those that are similar, so a bucket of copies
-  costs one comparison a line, and a bucket of two lines is done;
-* in what is left of a bucket of up to SMALL lines, the pairs of lines of different components;
-* in larger ones, lines of different components by the lines' rarest shingles: of n shingles,
-  n - ceil(0.8 n) + 1, one of which two similar lines must share. A passage that many lines have in common isn't rare,
-  so it brings nothing together here. In these groups, again each line with the first one;
-* in groups that then still hold several components, the pairs of lines of different components.
+A line's shingles are its substrings of SHINGLE characters (UTF-16 units) at every position, lower-cased; a line of up
+to that length is one shingle. Equal lines are one node. Its signature has sixteen minima over the hashes of all its
+shingles, each in another order; BANDS names the four of them that make a key. The fours are lines of an affine plane,
+three classes of parallels, so sixteen minima give twelve keys and two lines of similarity s share one with the chance
+that ``expected_recall`` adds up: 0.98 at 0.8, 0.99 at 0.85. The minima are taken STEP positions a row, by a plain
+aggregate. Lines that share a key are candidates:
+
+* each line of a bucket with the bucket's leader, the line that shares buckets with the most others: of a line and its
+  changed copies that is the line itself, which most copies are similar to though not to each other. Union-find joins
+  those that are similar, so a bucket of copies costs one comparison a line, and a bucket of two lines is done;
+* of the others of buckets that still hold several components, the pairs of lines of different components.
 
 So no two similar lines of a bucket stay apart, and pairs that are joined already or aren't similar are never listed.
 Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever
@@ -33,24 +30,23 @@ from wayfold.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
-PERMUTATIONS = 9
-#: Triples of minima: the lines of the affine plane over three elements.
-BANDS = [tuple(3 * x + (a * x + c) % 3 for x in range(3)) for a in range(3) for c in range(3)] + [tuple(3 * x + y for y in range(3)) for x in range(3)]
-#: Lines of a bucket whose pairs are compared directly, once its first line's are done.
-SMALL = 128
+#: Product in the field of four elements; the sum is the exclusive or.
+_TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
+#: Fours of minima: lines of the affine plane over that field, of three directions.
+BANDS = [tuple(4 * x + (_TIMES[a][x] ^ c) for x in range(4)) for a in range(3) for c in range(4)]
+PERMUTATIONS = 16
+#: Orders of hashes: as they are after the exclusive or with one of these. Any numbers would do that begin in other quarters of the range.
+MASKS = (0x13C6EF372FE94F82, 0x54FF53A55F1D36F1, 0x9B05688C2B3E6C1F, 0xE0CD19137E2179A5)
 #: Shingle positions handled by one row.
 STEP = 4
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Shingles of a line, repeats included."""
-    low = F.lower(line)
-    return F.when(F.length(low) <= size, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
-
-
 def hashed(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the different shingles of a line."""
-    return F.array_distinct(F.transform(shingles(line, size), lambda s: F.xxhash64(s)))
+    at = lambda b: F.sequence(F.lit(0), F.greatest((F.length(b) / 2).cast("int") - size, F.lit(0)))
+    # an array of one: the line is encoded once, not at every position
+    each = F.transform(F.array(F.encode(F.lower(line), "UTF-16BE")), lambda b: F.transform(at(b), lambda p: F.xxhash64(F.substring(b, 2 * p + 1, 2 * size))))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def expected_recall(similarity: float = SIMILARITY) -> float:
@@ -78,10 +74,13 @@ def nodes(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     units = units.withColumn("last", F.greatest(F.expr(f"int(length(b) div 2) - {size}"), F.lit(0)))
     at = units.select("k1", "k2", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("p"))
     own = at.select("k1", "k2", (F.col("p") == 0).cast("long").alias("one"), *[F.expr(f"xxhash64(substring(b, 2 * least(p + {i}, last) + 1, {2 * size}))").alias(f"h{i}") for i in range(STEP)])
-    # the hash and its hashes give two permutations each: their upper and lower halves
-    seeds = range((PERMUTATIONS + 1) // 2)
-    mixed = own.select("k1", "k2", "one", *[(F.xxhash64(f"h{i}", F.lit(j)) if j else F.col(f"h{i}")).alias(f"x{i}_{j}") for i in range(STEP) for j in seeds])
-    least = [F.least(*[F.col(f"x{i}_{j // 2}") if j % 2 == 0 else F.shiftleft(f"x{i}_{j // 2}", 32) for i in range(STEP)]).alias(f"m{j}") for j in range(PERMUTATIONS)]
+    mixed = own.select("k1", "k2", "one", *[c.alias(f"x{i}_{j}") for i in range(STEP) for j, c in enumerate((F.col(f"h{i}"), F.xxhash64(f"h{i}", F.lit(1))))])
+    # two hashes, four masks, and of each the upper and the lower half
+    least = []
+    for j, mask in product(range(2), MASKS):
+        turned = [F.col(f"x{i}_{j}").bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask)) for i in range(STEP)]
+        least += [F.least(*turned), F.least(*[F.shiftleft(x, 32) for x in turned])]
+    least = [c.alias(f"m{j}") for j, c in enumerate(least)]
     minima = mixed.select("k1", "k2", "one", *least).groupBy("k1", "k2").agg(F.sum("one").alias("n"), *[F.min(f"m{j}").alias(f"m{j}") for j in range(PERMUTATIONS)])
     return minima.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(PERMUTATIONS)])
 
@@ -93,10 +92,9 @@ def entries(each: DataFrame) -> DataFrame:
 
 
 def shared(members: DataFrame, total: int) -> DataFrame:
-    """members (key, node) whose key several nodes have; total is about their number. members is read twice."""
-    sizes = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
-    sizes = written(sizes.where("low != high").select("key", "size"), "bucket-sizes")
-    return written(attach(members, sizes, ["key"], "size", total).select("key", "node"), "buckets")
+    """members (key, node) whose key several nodes have, with the key's size; total is about their number. members is read twice."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return written(attach(members, written(sizes, "bucket-sizes"), ["key"], "size", total).select("key", "node", "size"), "buckets")
 
 
 def _similar(x: Column, y: Column, similarity: float) -> Column:
@@ -106,16 +104,12 @@ def _similar(x: Column, y: Column, similarity: float) -> Column:
     return sizes & (same >= F.lit(similarity - 1e-9) * (F.size(x) + F.size(y) - same))
 
 
-def _open(groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(key, node, root, first, first_root, size) of the groups (key, node) whose nodes aren't all in one component; first is a node of the group. Without roots (node, root) every node is its own."""
-    rooted = groups.select("key", "node")
-    if roots is None:
-        rooted, order = rooted.withColumn("root", F.col("node")), F.col("node")
-    else:
-        rooted, order = written(rooted.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted"), F.xxhash64("node")
-    whole = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", order).alias("first"), F.min_by("root", order).alias("first_root"), F.count("*").alias("size"))
-    whole = written(whole.where("low != high").select("key", "first", "first_root", "size"), "open")
-    return written(attach(rooted, whole, ["key"], "size", rooted.count()).select("key", "node", "root", "first", "first_root", "size"), "open-members")
+def _led(rooted: DataFrame) -> DataFrame:
+    """rooted (key, node, root, weight; a table) with first and first_root, the group's node of largest weight, where the nodes of a key aren't all in one component."""
+    heavy = F.struct("weight", "node")
+    whole = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("node", heavy).alias("first"), F.max_by("root", heavy).alias("first_root"), F.count("*").alias("members"))
+    whole = written(whole.where("low != high").select("key", "first", "first_root", "members"), "leaders")
+    return written(attach(rooted, whole, ["key"], "members", rooted.count()).select("key", "node", "root", "weight", "first", "first_root"), "led")
 
 
 def _hooked(links_: DataFrame) -> DataFrame:
@@ -130,16 +124,14 @@ def _star(groups: DataFrame, held: DataFrame, similarity: float, shingled: Calla
     """(a, b): nodes similar to their group's first one, if they weren't joined to it."""
     pairs = groups.where("root != first_root").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    # an array of one struct: the shingles are made once, and seen by the whole comparison
-    sets = F.array(F.struct(shingled(F.col("x")).alias("x"), shingled(F.col("y")).alias("y")))
-    return both.where(F.exists(sets, lambda p: _similar(p["x"], p["y"], similarity))).select("a", "b")
+    return both.where(_alike(F.col("x"), F.col("y"), similarity, shingled)).select("a", "b")
 
 
 def _rest(groups: DataFrame, held: DataFrame, similarity: float, shingled: Callable[[Column], Column]) -> DataFrame:
     """(a, b) of similar nodes of different components (key, node, root) in one group. Each pair is compared at the least key that both have, inside the join: pairs that fail are not listed."""
     each = groups.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys"))
-    sets = written(each.join(held, "node").select("node", "root", "keys", shingled(F.col("held")).alias("held")), "sets")
-    left = groups.select("key", "node").join(sets, "node")
+    whole = written(each.join(held, "node").select("node", "root", "keys", shingled(F.col("held")).alias("held")), "rest")
+    left = groups.select("key", "node").join(whole, "node")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "root", "keys", "held")]) for t in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
     once = F.array_min(F.array_intersect("keys_a", "keys_b")) == x.key
@@ -147,34 +139,23 @@ def _rest(groups: DataFrame, held: DataFrame, similarity: float, shingled: Calla
     return written(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
 
 
+def _alike(x: Column, y: Column, similarity: float, shingled: Callable[[Column], Column]) -> Column:
+    """Whether two contents are similar. An array of one struct: the shingles are made once, and seen by the whole comparison."""
+    return F.exists(F.array(F.struct(shingled(x).alias("x"), shingled(y).alias("y"))), lambda p: _similar(p["x"], p["y"], similarity))
+
+
 def joined(members: DataFrame, held: DataFrame, similarity: float, shingled: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """(a, b) of similar nodes that share a key of members (key, node): enough pairs to join all that are.
+    """(a, b) of similar nodes that share a key of members (key, node, size): enough pairs to join all that are.
 
     held has each node's content (node, held), whose set of hashed shingles ``shingled`` gives.
     """
-    groups = _open(members)
+    weighed = written(members.join(members.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "weighed")
+    groups = _led(weighed.withColumn("root", F.col("node")))
     out = written(_star(groups, held, similarity, shingled), "links")
-    # every node has met its bucket's first one; what is left are the others, if they aren't joined
-    left = _open(groups.where("node != first"), _hooked(out))
-    out = out.unionByName(_rest(left.where(F.col("size") <= SMALL), held, similarity, shingled))
-    large = left.where(F.col("size") > SMALL).select("node").distinct()
-    if large.limit(1).count():
-        sets = written(large.join(held, "node").select("node", shingled(F.col("held")).alias("held")), "sets")
-        groups = _open(_rare(sets, similarity), _hooked(out))
-        out = written(out.unionByName(_star(groups, sets, similarity, lambda c: c)), "links")
-        left = _open(groups.where("node != first"), components(out))
-        out = out.unionByName(_rest(left, sets, similarity, lambda c: c))
-    return out
-
-
-def _rare(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node): the rarest shingles of each node, so many that two similar nodes have one of them in common."""
-    each = sets.select("node", F.explode("held").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("f"))
-    ranked = each.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("r"))
-    n = F.size("r")
-    prefix = F.slice("r", 1, (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
-    return ranked.select("node", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("p")).select(F.col("p.key").alias("key"), "node")
+    # every node has met its group's leader; what is left are the others, if they aren't joined
+    others = groups.where("node != first").select("key", "node", "weight").join(_hooked(out), "node", "left")
+    left = _led(written(others.select("key", "node", "weight", F.coalesce("root", "node").alias("root")), "others"))
+    return out.unionByName(_rest(left, held, similarity, shingled))
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:

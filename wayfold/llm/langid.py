@@ -9,6 +9,7 @@ the softmax of the losses is its score, and near ties are flagged as ambiguous.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +19,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship
+from wayfold.llm.common import scratch, ship, with_columns, written
 
 #: Hashed trigrams.
 DIM_BITS = 17
-#: Texts learned from for each language (chosen by a hash of the id), and the longest of them in characters.
+#: Texts learned from for each language, about, chosen by a hash; whole, however long.
 SAMPLE = 400
-SAMPLE_CHARS = 100_000
 #: Smallest difference of the two best scores that isn't ambiguous.
 GAP = 0.2
 BLOCK = 1 << 20
@@ -40,9 +40,9 @@ def held_out(id_col: Column | str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sampled(id_col: str, share: Column | float, salt: int) -> Column:
-    """Whether a hash of the id falls into the share."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
+def sampled(of: Column, share: Column | float, salt: int) -> Column:
+    """Whether a hash of the value falls into the share."""
+    return F.pmod(F.xxhash64(of, F.lit(salt)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:
@@ -107,32 +107,51 @@ class Model:
         return self.languages[order[0]], float(scores[order[0]]), bool(gap < GAP)
 
 
-def fit(texts: list[str], labels: list[str]) -> Model:
-    """A model of the languages in labels."""
-    languages = sorted(set(labels))
+#: Counts are summed as whole multiples of this, so that their order doesn't matter.
+UNIT = 2.0**-30
+
+
+def _counts(text: str) -> np.ndarray:
+    """Trigram counts of a text over the root of its length, in UNITs."""
+    out = np.zeros(1 << DIM_BITS)
+    for idx in trigrams(text):
+        out += np.bincount(idx, minlength=1 << DIM_BITS)
+    return np.rint(out / (max(len(text), 1) ** 0.5 * UNIT)).astype(np.int64)
+
+
+def uncalibrated(counts: dict[str, np.ndarray]) -> Model:
+    """A model of the languages with these trigram counts, margins as they come."""
+    languages, dim, floor = sorted(counts), 1 << DIM_BITS, 1e-6
     code = codewords(len(languages))
-    dim = 1 << DIM_BITS
-    counts = {lang: np.zeros(dim) for lang in languages}
-    for text, lang in zip(texts, labels, strict=True):
-        for idx in trigrams(text):
-            counts[lang] += np.bincount(idx, minlength=dim) / max(len(text), 1) ** 0.5
-    shares = np.stack([counts[x] / max(counts[x].sum(), 1e-9) for x in languages]) if languages else np.zeros((0, dim))
-    floor = 1e-6
+    shares = np.stack([counts[x] / max(counts[x].sum(), 1) for x in languages]) if languages else np.zeros((0, dim))
     weights = np.zeros((dim, code.shape[1]), dtype=np.float32)
     for j in range(code.shape[1]):
         up, down = shares[code[:, j] > 0].mean(0), shares[code[:, j] < 0].mean(0)
         weights[:, j] = np.log(up + floor) - np.log(down + floor)
-    model = Model(languages, code, weights, np.ones(code.shape[1]), np.zeros(code.shape[1]))
-    if code.shape[1]:
-        x = np.stack([model.margins(t) for t in texts])
-        y = code[[languages.index(v) for v in labels]]
-        w = np.array([1 / labels.count(v) for v in languages])[[languages.index(v) for v in labels]]
-        w = w / w.sum()
-        for j in range(code.shape[1]):
-            model.scale[j], model.offset[j] = _platt(x[:, j], y[:, j], w)
+    return Model(languages, code, weights, np.ones(code.shape[1]), np.zeros(code.shape[1]))
+
+
+def calibrated(model: Model, margins: np.ndarray, labels: list[str]) -> Model:
+    """The model with a scale and offset of each bit's margin, fitted on texts whose languages count alike."""
+    if model.code.shape[1] and labels:
+        row = {x: i for i, x in enumerate(model.languages)}
+        y = model.code[[row[v] for v in labels]]
+        often = Counter(labels)
+        w = np.array([1 / often[v] for v in labels])
+        for j in range(model.code.shape[1]):
+            model.scale[j], model.offset[j] = _platt(margins[:, j], y[:, j], w / w.sum())
     return model
 
 
+def fit(texts: list[str], labels: list[str]) -> Model:
+    """A model of the languages in labels."""
+    counts = {x: np.zeros(1 << DIM_BITS, dtype=np.int64) for x in labels}
+    for text, lang in zip(texts, labels, strict=True):
+        counts[lang] += _counts(text)
+    model = uncalibrated(counts)
+    return calibrated(model, np.array([model.margins(t) for t in texts]).reshape(len(texts), -1), labels)
+
+
 def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Scale and offset of the logistic fit of y (+-1) on x, with a small penalty on the scale."""
     a, b = 1.0, 0.0
@@ -148,35 +167,63 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _drawn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int, part: int, sample: int) -> DataFrame:
+    """(text, lang) of about ``sample`` different texts of each language, by a hash of the text, of the rows that aren't held out and have an id, a language and a letter."""
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    known = known.where(~held_out("id", parts, part) & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    shares = written(known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")), "language-shares")
+    hit = known.join(shares, "lang").where(sampled(F.col("text"), F.col("share"), 11))
+    return hit.select("text", "lang").distinct()
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, part: int = 1, sample: int = SAMPLE) -> Model:
-    """Learns from text and non-null language of the rows that aren't held out, about ``sample`` of each language, chosen by a hash of the id among texts of up to SAMPLE_CHARS characters."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(id_col, parts, part) & F.col("id").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    rows = known.where(sampled("id", share, 11) & (F.length("text") <= SAMPLE_CHARS)).select("id", "text", "lang").toArrow().to_pydict()
-    order = sorted(range(len(rows["id"])), key=lambda i: (rows["id"][i], rows["text"][i], rows["lang"][i]))
-    keep = [i for i in order if rows["text"][i] and _LETTER.search(rows["text"][i])]
-    return fit([rows["text"][i] for i in keep], [rows["lang"][i] for i in keep])
+    """Learns from text and non-null language of the rows that aren't held out, about ``sample`` texts of each language.
+
+    Rows without id, text, language or letter are left out, repeated ones count once, ties of the hash stay together.
+    Texts are counted whole in the executors; what reaches the driver are sums by language and trigram, and one vector
+    for each text. Without any row the model knows no language.
+    """
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for t, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+                held[lang] = held.get(lang, 0) + _counts(t.as_py())
+        for lang, x in sorted(held.items()):
+            at = np.nonzero(x)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(x[at])], names=["lang", "at", "n"])
+
+    with scratch(docs.sparkSession):
+        rows = written(_drawn(docs, id_col, text_col, lang_col, parts, part, sample), "languages")
+        sums = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+        counts: dict[str, np.ndarray] = {x: np.zeros(1 << DIM_BITS, dtype=np.int64) for x in set(sums["lang"])}
+        for lang, at, n in zip(sums["lang"], sums["at"], sums["n"], strict=True):
+            counts[lang][at] = n
+        model = uncalibrated(counts)
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([held.value.margins(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))], names=["lang", "margins"])
+
+        found = sorted((r["lang"], r["margins"]) for r in rows.mapInArrow(measure, "lang string, margins array<double>").collect())
+    return calibrated(model, np.array([m for _, m in found]).reshape(len(found), -1), [x for x, _ in found])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_ambiguous; columns of these names are replaced.
+    """docs with last columns lang_pred, lang_score and lang_ambiguous; a name that docs has already gets a number, from lang_pred_2.
 
-    A text that is null or has no letter, or any text when no language was learned, is ``und`` with score 0 and ambiguous.
+    A text that is null or has no letter, or any text when no language was learned, is ``und`` with score 0 and
+    ambiguous. Long texts are read whole, repeated rows predicted alike; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
     held = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(text_col)]
-            new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [held.value.predict(t.as_py()) for t in batch.column(at)]
+        return [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "lang_score double", "lang_ambiguous boolean"]))
+    return with_columns(docs, run, [("lang_pred", "string"), ("lang_score", "double"), ("lang_ambiguous", "boolean")])

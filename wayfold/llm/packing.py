@@ -28,6 +28,8 @@ SIZE = 4096
 END = 1
 #: Words whose ids a worker remembers.
 CACHE = 500_000
+#: Longer ones, in bytes, aren't remembered: so the table holds at most CACHE times some 300 bytes.
+LONG = 64
 #: A full table is begun anew when more than this share of a batch's words isn't in it.
 STALE = 0.2
 #: Unseen words that are encoded at once.
@@ -226,10 +228,11 @@ class Encoder:
         unseen = {words[j] for words, js in zip(split, gaps, strict=True) for j in js}
         if unseen:
             new = self._learn(list(unseen))
+            short = {w: v for w, v in new.items() if len(w) <= LONG}
             if len(known) < CACHE:
-                known.update(new)
+                known.update(short)
             elif sum(map(len, gaps)) > STALE * sum(map(len, split)):
-                self.words = new
+                self.words = short
             for words, vs, js in zip(split, values, gaps, strict=True):
                 for j in js:
                     vs[j] = new[words[j]]
@@ -254,7 +257,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     ship(spark)
     with open(tokenizer_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     tail = np.array([end], dtype="<u4").tobytes()
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("at", pa.int32()), ("seq", pa.int64())])
 

@@ -4,8 +4,7 @@ Trusted positives (label 1) and unlabelled texts of the learning fold give a log
 statistics that minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 with the sigmoid loss, which is bounded and so keeps sampling noise out of the difference.
-Label 0 rows are never negatives; the class prior is the share of label 1 among the fold's labels, or, without any
-label 0, estimated from the density ratio of the two sides.
+Label 0 is never read; the class prior is estimated from the density ratio of the two sides.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship
+from wayfold.llm.common import scratch, ship, with_columns, written
 from wayfold.llm.langid import held_out, sampled
 
-#: Positives and unlabelled rows learned from, each (chosen by a hash of the id).
+#: Positives and unlabelled rows learned from, each, at most.
 SAMPLE = 10_000
 THRESHOLD = 0.7
 BINS = 64
@@ -95,6 +94,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _descend(bins: np.ndarray, sizes: list[int], loss_grad, steps: int = STEPS) -> tuple[list[np.ndarray], float]:
     """Adam over the additive model's weights; loss_grad gives the gradient by row's output."""
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -122,12 +125,19 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.linspace(x.min(), x.max(), n + 1)[1:-1], np.quantile(x, np.linspace(0, 1, n // 2 + 1)[1:-1])]))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Model:
-    """The model of least non-negative risk. Without rows on either side the score is one half for every text.
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows: where all rows are positive, the ratio of the two sides' densities is 1 / prior, so it is the inverse of the median ratio on positives that a classifier of the two sides gives."""
+    both = np.concatenate([positive, unlabelled])
+    pos = np.arange(len(both)) < len(positive)
+    edges = [_edges(both[:, j]) for j in range(both.shape[1])]
+    n_pos, n_unl = len(positive), len(unlabelled)
+    w, b = _descend(Model(edges, [], 0.0).bins(both), [len(e) + 1 for e in edges], lambda z: np.where(pos, (_sig(z) - 1) / n_pos, _sig(z) / n_unl))
+    other = Model(edges, w, b).score(positive)
+    return min(max(1 / max(float(np.median(other / np.maximum(1 - other, 1e-9))), 1.0), 0.01), 0.99)
 
-    Without a prior given, it is estimated: where all rows are positive, the ratio of the two sides' densities is
-    1 / prior, so prior is the inverse of the median ratio on positives that a classifier of the two sides gives.
-    """
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The model of least non-negative risk, with the estimated prior unless one is given. Without rows on either side the score is one half for every text."""
     if not len(positive) or not len(unlabelled):
         return Model([], [], 0.0)
     both = np.concatenate([positive, unlabelled])
@@ -138,15 +148,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Mo
     pos = np.zeros(len(both), dtype=bool)
     pos[: len(positive)] = True
     n_pos, n_unl = pos.sum(), (~pos).sum()
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-    if prior is None:
-        w, b = _descend(x, sizes, lambda z: np.where(pos, (sig(z) - 1) / n_pos, sig(z) / n_unl))
-        other = Model(edges, w, b).score(positive)
-        prior = 1 / max(float(np.median(other / np.maximum(1 - other, 1e-9))), 1.0)
-    prior = min(max(prior, 0.01), 0.99)
+    prior = estimated_prior(positive, unlabelled) if prior is None else min(max(prior, 0.01), 0.99)
 
     def grad(z: np.ndarray) -> np.ndarray:
-        p = sig(z)  # the sigmoid loss: loss(-) is p, loss(+) is 1 - p
+        p = _sig(z)  # the sigmoid loss: loss(-) is p, loss(+) is 1 - p
         slope = p * (1 - p)
         if p[~pos].mean() - prior * p[pos].mean() < 0:  # step back from a negative part of the risk
             return np.where(pos, prior * slope / n_pos, -slope / n_unl)
@@ -168,37 +173,41 @@ def _with_features(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = 4, part: int = 2, sample: int = SAMPLE) -> Model:
-    """Learns from about ``sample`` positives and as many unlabelled rows of the fold that isn't held out.
+    """Learns from ``sample`` positive and as many unlabelled rows of the fold that isn't held out, at most.
 
-    An id with several labels counts with the smallest; null ids and labels are left out.
+    An id with several labels counts with the smallest; null ids and labels are left out. Rows are drawn by a hash of
+    id and text, ties by the id, so one id that many rows repeat brings no more than ``sample``. Null texts count as
+    empty, long ones are read whole. Without documents or positives the model scores one half.
     """
     ship(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").where(~held_out("id", parts, part)).groupBy("id").agg(F.min("y").alias("y"))
-    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = n.get(1, 0), n.get(0, 0)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull() & ~held_out(id_col, parts, part))
-    total = rows.select("id").count()
-    # the sampled positives' ids are about ``sample`` in number, whatever the size of the tables
-    trusted = F.broadcast(known.where((F.col("y") == 1) & sampled("id", min(1.0, sample / max(ones, 1)), 21)).select("id", F.lit(1).alias("trusted")))
-    marked = rows.join(trusted, "id", "left").withColumn("drawn", sampled("id", min(1.0, sample / max(total, 1)), 22)).where("trusted = 1 or drawn")
-    kinds = marked.withColumn("kind", F.coalesce("trusted", F.lit(0)) + F.when(F.col("drawn"), 2).otherwise(0))
-    got = sorted((r["id"], r["kind"], r["x"]) for r in _with_features(kinds).collect())
-    pick = lambda bit: np.array([x for _, k, x in got if k & bit]).reshape(-1, len(FEATURES))
-    return fit(pick(1), pick(2), ones / (ones + zeros) if ones and zeros else None)
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null and y is not null").where(~held_out("id", parts, part)).groupBy("id").agg(F.min("y").alias("y"))
+    ones = known.where("y = 1")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where("id is not null").where(~held_out("id", parts, part))
+    total, n_ones = rows.count(), ones.count()
+    # the drawn positives' ids are about ``sample`` in number, whatever the size of the tables
+    trusted = F.broadcast(ones.where(sampled(F.col("id"), min(1.0, sample / max(n_ones, 1)), 21)).select("id", F.lit(1).alias("trusted")))
+    drawn = sampled(F.struct("id", "text"), min(1.0, sample / max(total, 1)), 22)
+    with scratch(docs.sparkSession):
+        marked = rows.join(trusted, "id", "left").withColumn("drawn", drawn).where("trusted = 1 or drawn")
+        kinds = written(_with_features(marked.withColumn("kind", F.coalesce("trusted", F.lit(0)) + F.when(F.col("drawn"), 2).otherwise(0))), "quality-sample")
+        got = [kinds.where(F.col("kind").bitwiseAND(bit) > 0).orderBy(F.xxhash64("id", "x"), "id").limit(sample).select("x").collect() for bit in (1, 2)]
+    return fit(*[np.array([r["x"] for r in g]).reshape(-1, len(FEATURES)) for g in got])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column quality_score, 0 to 1, of every whole text; a column of that name is replaced. A null text scores as an empty one."""
+    """docs with a last column quality_score, 0 to 1, of every whole text; where docs has that name already, it is quality_score_2.
+
+    A null text scores as an empty one. Rows are scored each by itself, so repeated ones alike; an empty table gives an
+    empty table.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("quality_score")
     held = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary())
-            x = np.array([features(t.as_py() or b"") for t in texts]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(x))], names=[*batch.schema.names, "quality_score"])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        x = np.array([features(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]).reshape(-1, len(FEATURES))
+        return [pa.array(held.value.score(x))]
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "quality_score double"]))
+    return with_columns(docs, run, [("quality_score", "double")])

@@ -82,9 +82,7 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ratio = quality_rules.ratios(docs, read(spark, sf_dir, "labels").where("quality = 1"))
-    out = quality_rules.judge(docs, ratio)
+    out = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"), keep=["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 

@@ -5,6 +5,14 @@ agree within t_i bits on some part. Parts, widths and thresholds follow from a d
 entries and candidate pairs expected from bit statistics of all fingerprints. Probing is an equi-join on (part, key)
 of each fingerprint's key and the keys within t_i bits; the distance is verified inside the join, so only true links
 leave it. Texts with one fingerprint are one node, and never paired.
+
+``drop_near_duplicates`` removes near copies by exact similarity: five-word shingles, Jaccard 0.8. Such pairs differ in
+ten bits on average and some in sixteen, where a pigeonhole over 64 bits would list more pairs than it excludes. So
+its pairs are probed through the shingles themselves: with all shingles in one order, two similar documents have one
+of their first n - ceil(0.8 n) + 1 in common, n being each one's own number. Any order is exact; this one puts shingles
+that are common in a sample last, and goes by hash among the others, so that a passage that many documents share
+brings few of them together. Of documents that meet, only those whose fingerprints come within WIDE bits are fetched
+and compared, as the lines of fuzzy_lines are; a pair of that similarity lies beyond with a chance of one in a million.
 """
 
 from __future__ import annotations
@@ -20,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import attach, checkpointed, ship
+from wayfold.llm.common import attach, checkpointed, scratch, ship, written
 from wayfold.llm.components import components
+from wayfold.llm.fuzzy_lines import joined
 
 BITS = 64
 #: Largest distance of a link.
@@ -32,6 +41,10 @@ SEED = 42
 #: A candidate pair is taken to cost as much as so many index entries (fetch, compare, sort).
 CANDIDATE_COST = 24
 BLOCK = 1 << 20
+#: Of the removal of near copies: words of a shingle, least similarity, and the largest distance of fingerprints that is compared.
+WORDS, SIMILARITY, WIDE = 5, 0.8, 26
+#: Documents in the sample of shingles, in how many of them a shingle counts as common, and how many such are listed. They change the order only.
+SAMPLE, COMMON, LISTED = 5000, 3, 200_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ONES = np.array([[(b >> k) & 1 for k in range(8)] for b in range(256)], dtype=np.int64)
@@ -74,7 +87,7 @@ def fingerprint(data: bytes, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, fp signed long) of every row; a null text counts as empty."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,34 +205,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id never names a component unless all of its ids are null. Repeated rows are repeated in the result. An
     empty table gives an empty table.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, size))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    sizes = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).first()
-    both = bit_counts(classes) if sizes["classes"] else np.zeros((BITS, BITS))
-    roots = components(links(classes.select("fp"), plan(both, sizes["classes"], tau), tau))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = checkpointed(rooted.join(whole, "root").select("fp", "n", "component_id", "component_size"))
+    with scratch(docs.sparkSession):
+        fps = written(fingerprints(docs, id_col, text_col, size), "fingerprints", keep=True)
+        classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+        sizes = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).first()
+        both = bit_counts(classes) if sizes["classes"] else np.zeros((BITS, BITS))
+        roots = components(links(classes.select("fp"), plan(both, sizes["classes"], tau), tau))
+        rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        whole = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("nodes")))
+        named = attach(rooted, whole, ["root"], "nodes", sizes["classes"]).select("fp", "n", "component_id", "component_size")
+        named = written(named, "fingerprint-classes", keep=True)
     return attach(fps, named, ["fp"], "n", sizes["rows"] or 0).select("id", "fp", "component_id", "component_size")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """The rows of docs without all but one row of each component, all columns kept.
+def hashes_of(data: bytes, size: int = WORDS) -> np.ndarray:
+    """The different shingles of a UTF-8 text as sorted signed 64-bit hashes: lower-cased words; a shorter text is one shingle."""
+    words = data.decode(errors="replace").lower().encode(errors="replace").split()
+    hash64 = xxhash.xxh64_intdigest
+    n = max(len(words) - size + 1, 1)
+    return np.unique(np.fromiter((hash64(b" ".join(words[i : i + size]), SEED) for i in range(n)), dtype=np.uint64, count=n).view(np.int64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of different shingles, signed."""
+    cells = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(cells[:, j], minlength=256) @ _ONES for j in range(8)])
+    return _signed(sum(1 << k for k in np.nonzero(2 * ones > len(hashes))[0].tolist()))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all, so many that two similar sets have one of them in common."""
+    take = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[:take]
+
+
+def _common(texts: DataFrame, total: int) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample have, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("text").cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(x.as_py()))], names=["key"])
+
+    part = max(1, total // SAMPLE)
+    often = texts.where(F.pmod(F.col("h"), F.lit(part)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("f"))
+    return np.sort(np.array([r["key"] for r in often.where(F.col("f") >= COMMON).orderBy(F.desc("f"), "key").limit(LISTED).collect()], dtype=np.int64))
+
+
+def marks(keyed: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, i, h, fp, n, prefix) of every row (i, h, text): a hash of its keys, the keys, its fingerprint, how many shingles it has, the first ones of them."""
+    spark = keyed.sparkSession
+    held = spark.sparkContext.broadcast(_common(keyed, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashes_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
+            fps = pa.array([majority(x) for x in own], pa.int64())
+            first = pa.array([prefix(x, held.value, similarity) for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), fps, pa.array([len(x) for x in own], pa.int64()), first], names=["i", "h", "fp", "n", "prefix"])
+
+    out = keyed.select("i", "h", "text").mapInArrow(run, "i long, h long, fp long, n long, prefix array<long>")
+    return written(out.select(F.xxhash64("i", "h").alias("node"), "*"), "near-marks")
+
+
+def candidates(each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node, size) of the prefixes of nodes whose size and fingerprint allow that another node of the same key is similar."""
+    entries = each.select(F.explode("prefix").alias("key"), "node", "fp", "n")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    total = each.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    met = written(attach(entries, written(sizes, "near-sizes"), ["key"], "size", total), "near-met")
+    x, y = (met.select([F.col(c).alias(f"{t}_{c}") for c in met.columns]) for t in "xy")
+    sizes = F.least("x_n", "y_n") >= F.lit(similarity - 1e-9) * F.greatest("x_n", "y_n")
+    near = sizes & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= WIDE)
+    # a semi-join ends a row's search at the first such node, and lists no pairs
+    found = x.join(y, (x.x_key == y.y_key) & (F.col("x_node") != F.col("y_node")) & near, "left_semi")
+    return written(found.select(F.col("x_key").alias("key"), F.col("x_node").alias("node"), F.col("x_size").alias("size")).distinct(), "near-candidates")
+
+
+def sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, held): the hashed shingles of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashes_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "held"])
+
+    texts = keyed.select(F.xxhash64("i", "h").alias("node"), "text").join(nodes, "node").dropDuplicates(["node"])
+    return written(texts.mapInArrow(run, "node long, held array<long>"), "near-sets")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without all but one row of each component of similar rows, all columns kept.
 
     The row with the smallest id stays, a null id being the largest; ties go to the smallest text hash, and of rows
-    that repeat both id and text one stays. Only rows of components with several rows are joined.
+    that repeat both id and text one stays. Null texts count as empty; texts without a word are alike. Texts are read
+    whole, however long. An empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ship(docs.sparkSession)
-    keys = docs.select(F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h")).alias("id"), text.alias("text"))
-    fps = checkpointed(fingerprints(keys, "id", "text", size).select("fp", F.col("id.i").isNull().alias("none"), F.col("id.i").alias("i"), F.col("id.h").alias("h")))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("n")))
-    n = classes.count()
-    roots = components(links(classes.select("fp"), plan(bit_counts(classes) if n else np.zeros((BITS, BITS)), n, tau), tau))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    several = checkpointed(rooted.select("fp", "n", "root").join(whole, "root").select("fp", "n", "first"))
-    members = attach(fps, several, ["fp"], "n", fps.count())
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
+    with scratch(spark):
+        each = marks(keyed, docs.count(), similarity)
+        members = candidates(each, similarity)
+        held = sets(keyed, members.select("node").distinct())
+        roots = components(joined(members, held, similarity))
+        rooted = each.select("node", "i", "h").join(roots, "node", "left")
+        rooted = written(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"), "near-rooted")
+        whole = written(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "near-firsts")
+        members = written(attach(rooted, whole, ["root"], "rows", rooted.count()).select("none", "i", "h", "first"), "near-members", keep=True)
     return staying(docs, members, id_col, text)
 
 
@@ -228,7 +325,7 @@ def staying(docs: DataFrame, members: DataFrame, id_col: str, text: Column) -> D
     fate = members.groupBy("i", "h").agg(F.first(F.struct("none", "i", "h").eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("copies"))
     fate = fate.select(F.col("i").alias("fate_i"), F.col("h").alias("fate_h"), "stays", "copies")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    keyed = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("h"))
     marked = keyed.join(fate, keyed.i.eqNullSafe(fate.fate_i) & (keyed.h == fate.fate_h), "left").where("stays is null or stays")
     tied = F.coalesce(F.col("copies"), F.lit(1)) > 1
     if fate.where("stays and copies > 1").limit(1).count():
