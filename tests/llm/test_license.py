@@ -64,11 +64,11 @@ def test_held_out_notices_and_calibration(spark):
 
 def test_notices_left_out_of_training():
     """A notice that is skipped in training is still told by the others of its family."""
-    for family, texts in license_scan.NOTICES.items():
-        if len(texts) > 3:
-            skipped = texts[0]
-            p = license_scan.train(frozenset([skipped])).probabilities(license_scan.tokens(skipped))
-            assert list(license_scan.NOTICES)[p[:-1].argmax()] == family
+    skipped = {f: next(t for t in texts if t.startswith(("under", "Licensed under"))) for f, texts in license_scan.NOTICES.items() if f in ("Apache-2.0", "MIT", "BSD", "GPL", "LGPL")}
+    model = license_scan.train(frozenset(skipped.values()))
+    for family, text in skipped.items():
+        p = model.probabilities(license_scan.tokens(text))
+        assert model.families[p[:-1].argmax()] == family
     license_scan.train.cache_clear()
 
 
@@ -106,5 +106,5 @@ def test_wrapped_notices():
 def test_lines_across_a_blank_one_are_no_notice():
     model = license_scan.train()
     for gap in ("", "  ", " * ", "REM"):
-        text = f"This work is licensed under a\n{gap}\nCreative Commons Attribution 4.0 International License."
+        text = f"Permission is hereby granted, free of charge, to any person\n{gap}\nobtaining a copy of this software and associated documentation files, to deal in it without restriction"
         assert not [x for x in license_scan.find(text, model) if x[5] >= license_scan.CONTAINED]

@@ -178,7 +178,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     facts = buckets.agg(F.sum("n").alias("rows"), F.max("top_rows").alias("ties"), F.max("depth").alias("depth")).first()
     depth = facts["depth"] or 0
     each = buckets.groupBy("owner", "bucket", "depth").agg(F.sum("n").alias("weight"))
-    slots = F.sequence(F.col("bucket"), F.lit((1 << depth) - 1).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("depth")))
+    slots = F.sequence(F.col("bucket"), F.lit((1 << depth) - 1).cast("long"), F.expr("shiftleft(1L, depth)"))
     directory = written(each.select("owner", F.explode(slots).alias("slot"), "bucket", "weight"), "exact-directory", keep=True)
     return Index(buckets, directory, owners, depth, facts["rows"] or 0, facts["ties"] or 0)
 

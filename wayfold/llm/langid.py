@@ -149,7 +149,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     for text, lang in zip(texts, labels, strict=True):
         counts[lang] += _counts(text)
     model = uncalibrated(counts)
-    return calibrated(model, np.array([model.margins(t) for t in texts]).reshape(len(texts), -1), labels)
+    return calibrated(model, np.array([model.margins(t) for t in texts]).reshape(len(texts), model.code.shape[1]), labels)
 
 
 def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -208,7 +208,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([held.value.margins(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))], names=["lang", "margins"])
 
         found = sorted((r["lang"], r["margins"]) for r in rows.mapInArrow(measure, "lang string, margins array<double>").collect())
-    return calibrated(model, np.array([m for _, m in found]).reshape(len(found), -1), [x for x, _ in found])
+    return calibrated(model, np.array([m for _, m in found]).reshape(len(found), model.code.shape[1]), [x for x, _ in found])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
