@@ -12,7 +12,7 @@ its pairs are probed through the shingles themselves: with all shingles in one o
 of their first n - ceil(0.8 n) + 1 in common, n being each one's own number. Any order is exact; this one puts shingles
 that are common in a sample last, and goes by hash among the others, so that a passage that many documents share
 brings few of them together. Of documents that meet, only those whose fingerprints come within WIDE bits are fetched
-and compared, as the lines of fuzzy_lines are; a pair of that similarity lies beyond with a chance of one in a million.
+and compared, as the lines of fuzzy_lines are; a pair of just that similarity lies beyond with a chance of 0.00004.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import attach, checkpointed, scratch, ship, written
 from wayfold.llm.components import components
-from wayfold.llm.fuzzy_lines import joined
+from wayfold.llm.fuzzy_lines import alike, joined
 
 BITS = 64
 #: Largest distance of a link.
@@ -42,7 +42,7 @@ SEED = 42
 CANDIDATE_COST = 24
 BLOCK = 1 << 20
 #: Of the removal of near copies: words of a shingle, least similarity, and the largest distance of fingerprints that is compared.
-WORDS, SIMILARITY, WIDE = 5, 0.8, 26
+WORDS, SIMILARITY, WIDE = 5, 0.8, 22
 #: Documents in the sample of shingles, in how many of them a shingle counts as common, and how many such are listed. They change the order only.
 SAMPLE, COMMON, LISTED = 5000, 3, 200_000
 
@@ -271,20 +271,6 @@ def marks(keyed: DataFrame, total: int, similarity: float = SIMILARITY) -> DataF
     return written(out.select(F.xxhash64("i", "h").alias("node"), "*"), "near-marks")
 
 
-def candidates(each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, node, size) of the prefixes of nodes whose size and fingerprint allow that another node of the same key is similar."""
-    entries = each.select(F.explode("prefix").alias("key"), "node", "fp", "n")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    total = each.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
-    met = written(attach(entries, written(sizes, "near-sizes"), ["key"], "size", total), "near-met")
-    x, y = (met.select([F.col(c).alias(f"{t}_{c}") for c in met.columns]) for t in "xy")
-    sizes = F.least("x_n", "y_n") >= F.lit(similarity - 1e-9) * F.greatest("x_n", "y_n")
-    near = sizes & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= WIDE)
-    # a semi-join ends a row's search at the first such node, and lists no pairs
-    found = x.join(y, (x.x_key == y.y_key) & (F.col("x_node") != F.col("y_node")) & near, "left_semi")
-    return written(found.select(F.col("x_key").alias("key"), F.col("x_node").alias("node"), F.col("x_size").alias("size")).distinct(), "near-candidates")
-
-
 def sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, held): the hashed shingles of the given nodes."""
 
@@ -310,9 +296,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
     with scratch(spark):
         each = marks(keyed, docs.count(), similarity)
-        members = candidates(each, similarity)
-        held = sets(keyed, members.select("node").distinct())
-        roots = components(joined(members, held, similarity))
+
+        def near(x: Column, y: Column) -> Column:
+            sizes = F.least(x["n"], y["n"]) >= F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"])
+            return sizes & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= WIDE)
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            held = sets(keyed, written(ends, "near-ends"))
+            both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+            return both.where(alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
+
+        light = each.select("node", F.struct("fp", "n").alias("light"))
+        roots = components(joined(light, each.select(F.explode("prefix").alias("key"), "node"), near, verified))
         rooted = each.select("node", "i", "h").join(roots, "node", "left")
         rooted = written(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"), "near-rooted")
         whole = written(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "near-firsts")
