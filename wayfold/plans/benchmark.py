@@ -105,7 +105,7 @@ _sql(
     PIP + ", box(polygon_id, xa, xb, ya, yb) AS (VALUES (1, 13.1::DOUBLE, 13.4::DOUBLE, 52.1::DOUBLE, 52.4::DOUBLE), (2, 13.5::DOUBLE, 13.75::DOUBLE, 52.5::DOUBLE, 52.75::DOUBLE), (5, 13.90625::DOUBLE, 13.984375::DOUBLE, 52.90625::DOUBLE, 52.984375::DOUBLE)) "
     "SELECT s.trip_id, polygon_id FROM s CROSS JOIN box GROUP BY ALL HAVING bool_and(least(ax, bx) >= xa AND greatest(ax, bx) <= xb AND least(ay, by) >= ya AND greatest(ay, by) <= yb) AND bool_or((ax + bx) / 2 > xa AND (ax + bx) / 2 < xb AND (ay + by) / 2 > ya AND (ay + by) / 2 < yb)",
 )
-_sql("fn_st_contained", f"SELECT trip_id, polygon_id FROM trips JOIN regions ON {_BOX} WHERE polygon_id <> 4 AND st_contained(t, polygon, {A}, {B})", PIP + f"SELECT trip_id, polygon_id FROM touch JOIN tr USING (trip_id) WHERE polygon_id <> 4 AND f <= {B} AND l >= {A}")
+_sql("fn_st_contained", f"SELECT trip_id, polygon_id FROM trips JOIN regions ON {_BOX} WHERE st_contained(t, polygon, {A}, {B})", PIP + f"SELECT trip_id, polygon_id FROM touch JOIN tr USING (trip_id) WHERE polygon_id <> 4 AND f <= {B} AND l >= {A} UNION ALL SELECT trip_id, 4 FROM tr WHERE f <= {B} AND l >= {A}")
 _sql("fn_st_contains", "SELECT point_id, polygon_id FROM points JOIN regions ON st_contains(polygon, point)", """
 , sd AS (SELECT point_id, polygon_id, sum(CASE WHEN (ay > py) <> (by > py) AND px < (bx - ax) * (py - ay) / CASE WHEN by = ay THEN 1 ELSE by - ay END + ax THEN 1 ELSE 0 END) % 2 = 1 AS odd,
  bool_or((bx - ax) * (py - ay) = (by - ay) * (px - ax) AND px BETWEEN least(ax, bx) AND greatest(ax, bx) AND py BETWEEN least(ay, by) AND greatest(ay, by)) AS edge FROM points CROSS JOIN e GROUP BY ALL)
@@ -124,9 +124,9 @@ SELECT s.trip_id, q.point_id, arg_min(CASE WHEN s.ax = q.px AND s.ay = q.py THEN
   ELSE round(s.t0 + (s.t1 - s.t0) * sqrt(((q.px - s.ax) ** 2 + (q.py - s.ay) ** 2) / ((s.bx - s.ax) ** 2 + (s.by - s.ay) ** 2)))::BIGINT END, s.t0)::BIGINT AS ms
 FROM s JOIN points1 q ON s.n > 1 AND {ON} GROUP BY ALL""")
 
-# pairs of lines
-_PAIRS = "FROM (SELECT trip_id AS a, t FROM trips WHERE moid IN (0, 5, 10)) JOIN (SELECT trip_id AS b, t AS u FROM trips WHERE moid IN (1, 6, 11)) "
-_OPAIRS = "FROM (SELECT * FROM s WHERE moid IN (0, 5, 10)) p JOIN (SELECT * FROM s WHERE moid IN (1, 6, 11)) q "
+# pairs of lines: each vehicle's trip and the next vehicle's of the same days, over all trips
+_PAIRS = "FROM (SELECT trip_id AS a, t FROM trips) JOIN (SELECT trip_id AS b, t AS u FROM trips) ON b = a + 100000"
+_OPAIRS = "FROM s p JOIN s q ON q.trip_id = p.trip_id + 100000"
 
 
 def _c(s: str, x: str, y: str) -> str:
@@ -145,12 +145,12 @@ def _d(s: str, x: str, y: str) -> str:
 
 
 GAP = f"CASE WHEN {MEET} THEN 0 ELSE sqrt(least({_d('p', 'q.ax', 'q.ay')}, {_d('p', 'q.bx', 'q.by')}, {_d('q', 'p.ax', 'p.ay')}, {_d('q', 'p.bx', 'p.by')})) END"
-_sql("fn_st_distance", f"SELECT a, b, round(st_distance(t, u), 6) AS v {_PAIRS}", f"SELECT p.trip_id AS a, q.trip_id AS b, round(min({GAP}), 6) AS v {_OPAIRS} ON true GROUP BY ALL")
+_sql("fn_st_distance", f"SELECT a, b, round(st_distance(t, u), 6) AS v {_PAIRS}", f"SELECT p.trip_id AS a, q.trip_id AS b, round(min({GAP}), 6) AS v {_OPAIRS} GROUP BY ALL")
 _WKT2 = "POLYGON((13.1 52.1,13.9 52.1,13.9 52.9,13.1 52.9,13.1 52.1))"
 _sql("fn_polylines_intersect_in_polygon", f"SELECT a, b, polylines_intersect_in_polygon(t, u, polygon_from_text('{_WKT2}')) AS v {_PAIRS}", f"""
-, hit AS (SELECT p.trip_id AS a, q.trip_id AS b, {MEET} AS meets, p.ax AS x, p.ay AS y, p.bx - p.ax AS dx, p.by - p.ay AS dy, ((q.ax - p.ax) * (q.by - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) AS num, ((p.bx - p.ax) * (q.by - q.ay) - (p.by - p.ay) * (q.bx - q.ax)) AS den {_OPAIRS} ON true)
+, hit AS (SELECT p.trip_id AS a, q.trip_id AS b, {MEET} AS meets, p.ax AS x, p.ay AS y, p.bx - p.ax AS dx, p.by - p.ay AS dy, ((q.ax - p.ax) * (q.by - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) AS num, ((p.bx - p.ax) * (q.by - q.ay) - (p.by - p.ay) * (q.bx - q.ax)) AS den {_OPAIRS})
 SELECT a, b, bool_or(coalesce(meets AND den <> 0 AND x + num / CASE WHEN den = 0 THEN 1 ELSE den END * dx > 13.1 AND x + num / CASE WHEN den = 0 THEN 1 ELSE den END * dx < 13.9 AND y + num / CASE WHEN den = 0 THEN 1 ELSE den END * dy > 52.1 AND y + num / CASE WHEN den = 0 THEN 1 ELSE den END * dy < 52.9, false)) AS v FROM hit GROUP BY ALL""")
-_VPAIRS = "FROM (SELECT * FROM v WHERE moid IN (0, 5, 10)) p JOIN (SELECT * FROM v WHERE moid IN (1, 6, 11)) q ON true GROUP BY ALL"
+_VPAIRS = "FROM v p JOIN v q ON q.trip_id = p.trip_id + 100000 GROUP BY ALL"
 for _p, _b in (("hour", "{}.m // 3600000"), ("day", "{}.m // 86400000"), ("year", "year(make_timestamp({}.m * 1000))")):
     _sql(f"fn_tdwithin_{_p}", f"SELECT a, b, tdwithin(t, u, 20000, '{_p}') AS v {_PAIRS}", f"SELECT p.trip_id AS a, q.trip_id AS b, bool_or({_b.format('p')} = {_b.format('q')} AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= {20000 / g.METRES_PER_DEGREE!r}::DOUBLE) AS v {_VPAIRS}")
 
@@ -239,6 +239,8 @@ _sql(
     "SELECT period_id, max(distance) AS longest FROM (SELECT moid, period_id, round(sum(sqrt((bx - ax) ** 2 + (by - ay) ** 2)), 6) AS distance FROM clip WHERE cb > ca OR t0 = t1 GROUP BY ALL) GROUP BY period_id",
 )
 _frame("q10", lambda spark, sf: _meetings(spark, sf, 3_000, "hour", lambda c: c.join(F.broadcast(d.sample(d.licences(spark, sf), "licence_id").select("licence")), "licence"), lambda c: c, "licence1 <> licence2"), _NEAR.format(a="l", b="c2", bucket="p.m // 3600000 = q.m // 3600000", where="c1.licence <> c2.licence", reach=3_000 / g.METRES_PER_DEGREE).replace("JOIN v q", "JOIN licences1 l ON l.licence = c1.licence JOIN v q"))
+# the same, farther and longer apart: it has rows at every scale
+_frame("q10_wide", lambda spark, sf: _meetings(spark, sf, 20_000, "day", lambda c: c.join(F.broadcast(d.sample(d.licences(spark, sf), "licence_id").select("licence")), "licence"), lambda c: c, "licence1 <> licence2"), _NEAR.format(a="l", b="c2", bucket="p.m // 86400000 = q.m // 86400000", where="c1.licence <> c2.licence", reach=20_000 / g.METRES_PER_DEGREE).replace("JOIN v q", "JOIN licences1 l ON l.licence = c1.licence JOIN v q"))
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
