@@ -101,14 +101,6 @@ def _similar(x: Column, y: Column, similarity: float) -> Column:
     return sizes & (same >= F.lit(similarity - 1e-9) * (F.size(x) + F.size(y) - same))
 
 
-def _hooked(links_: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node is linked to, and that one's in turn. Less than the components, in two steps: what it leaves apart is only compared again."""
-    both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "hooks")
-    upper = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
-    return least.join(upper, "up", "left").select("node", F.least(F.coalesce("top", "up"), "up").alias("root"))
-
-
 def alike(x: Column, y: Column, similarity: float, shingled: Callable[[Column], Column] = lambda c: c) -> Column:
     """Whether two contents are similar. An array of one struct: the shingles are made once, and seen by the whole comparison."""
     return F.exists(F.array(F.struct(shingled(x).alias("x"), shingled(y).alias("y"))), lambda p: _similar(p["x"], p["y"], similarity))
@@ -131,7 +123,7 @@ def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column]
     both = met.join(lights.toDF("a", "light_a"), "a").join(lights.toDF("b", "light_b"), "b")
     out = written(verified(written(both.where(near(F.col("light_a"), F.col("light_b"))).select("a", "b"), "near-leaders")), "links")
     # every node has met its buckets' leaders; what is left are the others of buckets of more than two, if they aren't joined
-    rooted = weighed.join(_hooked(out), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    rooted = weighed.join(components(out), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     by = Window.partitionBy("key")
     opened = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.count("*").over(by).alias("size"))
     left = written(opened.where("low != high and size > 2").select("key", "node", "root").join(lights, "node"), "open")
