@@ -208,3 +208,30 @@ def test_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["moid"], r["n"]) for r in spark.table("sess").collect()} == {(1, 2), (2, 1)}
+
+
+def test_database_that_several_processes_read(spark, engine, tmp_path):
+    """One process writes, any may read: texts, nulls and all three modes come back as they were, through scans with pushdown."""
+    from wayfold.sources.jdbc import Embedded
+
+    db = Embedded.create(spark, f"file://{tmp_path}/e")
+    db.execute(["CREATE TABLE T (ID BIGINT PRIMARY KEY, S VARCHAR(100), D DOUBLE, B TIMESTAMP)"])
+    rows = [(1, 'a "quoted", text', 1.5, "2024-01-01 00:00:00.25"), (2, "", None, None), (3, None, -2.0, "2024-01-02 03:04:05"), (4, " two\nlines ", 0.0, None), (5, "back\\slash é", 1e-300, None)]
+    df = spark.createDataFrame(rows, "ID long, S string, D double, B string").withColumn("B", F.expr("CAST(B AS TIMESTAMP)")).repartition(2)
+    db.write(df.where("ID < 4"), "T")
+    db.write(df.where("ID > 3").unionByName(df.where("ID = 1").withColumn("D", F.lit(7.5))), "T", REPLACE, ["ID"])
+    shared = db.published()
+    want = sorted(tuple(r) for r in df.withColumn("D", F.expr("IF(ID = 1, 7.5D, D)")).collect())
+    assert sorted(tuple(r) for r in shared.table("T").collect()) == want
+    db.write(df.where("ID = 2"), "T", OVERWRITE)
+    assert [r["ID"] for r in db.published().table("T").where("S = ''").collect()] == [2]
+
+
+@pytest.mark.parametrize("name", ["src_jdbc_modes", "src_jdbc_pushed"])
+def test_database_queries_without_a_local_master(spark, monkeypatch, name):
+    from wayfold.plans import source_queries
+
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, source_queries.QUERIES[name](spark, data).collect()))
+    monkeypatch.setattr(source_queries, "_one_process", lambda s: False)
+    assert sorted(map(tuple, source_queries.QUERIES[name](spark, data).collect())) == want and want

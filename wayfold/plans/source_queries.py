@@ -14,7 +14,7 @@ from wayfold.plans import benchmark
 from wayfold.plans import dataset as d
 from wayfold.plans.engine import Engine
 from wayfold.sources import files, folding
-from wayfold.sources.jdbc import OVERWRITE, REPLACE, Store
+from wayfold.sources.jdbc import OVERWRITE, REPLACE, Embedded, Store
 
 QUERIES, ORACLES = {}, {}
 _TEXT = "date_format({0}, 'yyyy-MM-dd HH:mm:ss.SSS')"
@@ -137,20 +137,27 @@ def _one_process(spark: SparkSession) -> bool:
 
 
 def store(spark: SparkSession, tables: list[str]) -> Store:
-    """A database in the memory of the driver, which a local master shares with its executors."""
-    if not _one_process(spark):
-        raise ValueError("the database of this query lives in the driver; it needs a local master")
-    made = Store(spark, f"jdbc:derby:memory:w{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    """A database in the memory of the driver, which a local master shares with its executors; elsewhere one in the folder that all share."""
+    if _one_process(spark):
+        made = Store(spark, f"jdbc:derby:memory:w{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    else:
+        made = Embedded.create(spark, folder(spark, "database"))
     made.execute(tables)
     return made
 
 
+def _readable(db: Store) -> Store:
+    """The database for scans: every executor may read it."""
+    return db.published() if isinstance(db, Embedded) else db
+
+
 def _jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk load, then new and changed rows by key, then a scan whose geometry columns are found by their contents."""
     db = store(spark, ["CREATE TABLE TRIPS (TRIP_ID BIGINT PRIMARY KEY, MOID BIGINT, POLYLINE VARCHAR(32000))"])
     trips = d.trips(spark, sf_dir).selectExpr("trip_id AS TRIP_ID", "moid AS MOID", "t AS POLYLINE")
     db.write(trips.where("moid % 3 = 0").withColumn("MOID", F.lit(-1)), "TRIPS", OVERWRITE)
     db.write(trips.where("moid % 3 < 2"), "TRIPS", REPLACE, ["TRIP_ID"])
+    db = _readable(db)
     return _lines(db.decoded(db.table("TRIPS"), {"POLYLINE": "trajectory"}).selectExpr("TRIP_ID AS trip_id", "MOID AS moid", "POLYLINE AS polyline"), "polyline")
 
 
@@ -159,7 +166,7 @@ def _jdbc_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = store(spark, ["CREATE TABLE CARS (MOID BIGINT, LICENCE VARCHAR(20), KIND VARCHAR(20))"])
     db.write(d.cars(spark, sf_dir).selectExpr("moid AS MOID", "licence AS LICENCE", "type AS KIND"), "CARS")
     name = f"wf{uuid.uuid4().hex}"
-    db.catalog(name)
+    _readable(db).catalog(name)
     return spark.sql(f"SELECT KIND AS kind, count(*) AS n FROM {name}.APP.CARS WHERE MOID > 10 GROUP BY KIND")
 
 

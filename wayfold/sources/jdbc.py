@@ -5,9 +5,12 @@ Trajectories travel as EWKB: binary when read, hex text when written.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+import zipfile
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,15 +85,14 @@ class Store:
             raise ValueError(f"{name} has no column {sorted(unknown)}")
         wkb = [f.name for f in df.schema if f.dataType.simpleString().replace(" ", "") == "array<struct<x:double,y:double,m:double>>"]
         df = df.select(*[F.expr(f"hex(trajectory_to_wkb(`{c}`))").alias(c) if c in wkb else F.col(f"`{c}`") for c in df.columns])
-        writer = lambda d, table, how: d.write.format("jdbc").option("url", self.url).options(**self.options).option("dbtable", table).mode(how).save()
         if mode == APPEND:
-            writer(df, _checked(name), "append")
+            self._load(df, _checked(name), "append")
             return
         if mode not in (OVERWRITE, REPLACE) or (mode == REPLACE and not key):
             raise ValueError(f"mode {mode!r} with key {key!r}")
         staging = f"{_checked(name)}_{uuid.uuid4().hex[:12]}"
         try:
-            writer(df, staging, "overwrite")
+            self._load(df, staging, "overwrite")
             own = {c.lower(): c for c in target}
             into, columns = (", ".join(_quoted(c) for c in names) for names in ([own[c.lower()] for c in df.columns], df.columns))
             staged = {c.lower(): c for c in df.columns}
@@ -100,6 +102,9 @@ class Store:
         finally:
             self.execute([f"DROP TABLE {staging}"], missing=True)
 
+    def _load(self, df: DataFrame, table: str, how: str) -> None:
+        df.write.format("jdbc").option("url", self.url).options(**self.options).option("dbtable", table).mode(how).save()
+
     def execute(self, statements: list[str], missing: bool = False) -> None:
         """Statements in one transaction, from the driver. With ``missing`` a failure, such as a table that isn't there, is no error."""
         jvm = self.spark.sparkContext._jvm
@@ -122,3 +127,66 @@ class Store:
                 raise
         finally:
             connection.close()
+
+
+def _local(path: str) -> str:
+    """A shared folder's path as the database's files need it."""
+    scheme = urlparse(path).scheme
+    if scheme not in ("", "file"):
+        raise ValueError(f"an embedded database needs a folder of a file system, not {path!r}")
+    return urlparse(path).path if scheme else path
+
+
+@dataclass
+class Embedded(Store):
+    """A Derby database in ``folder``, which the driver and all executors share. One process at a time may change such a database, any number may read a packed one.
+
+    So the driver has it while it is written: executors write rows as CSV files beside it, which the database imports
+    in bulk. ``published`` then packs it, for scans with pushdown from every executor.
+    """
+
+    folder: str = ""
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str) -> Embedded:
+        home = _local(folder)
+        os.makedirs(home)
+        made = cls(spark, f"jdbc:derby:{home}/db", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, folder)
+        made._connect(";create=true")
+        return made
+
+    def _connect(self, attributes: str, ends: bool = False) -> None:
+        """Opens the database with these attributes; with ``ends`` that closes it, which Derby tells by an error."""
+        jvm = self.spark.sparkContext._jvm
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.options["driver"])
+        try:
+            jvm.java.sql.DriverManager.getConnection(self.url + attributes).close()
+        except Exception as e:
+            if not (ends and "08006" in str(e.java_exception.getSQLState())):
+                raise
+
+    def _load(self, df: DataFrame, table: str, how: str) -> None:
+        if how == "overwrite":
+            super()._load(df.limit(0), table, how)  # the table only: no rows, no tasks
+        part = f"rows-{uuid.uuid4().hex}"
+        quoting = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+        df.write.options(**quoting).csv(f"{self.folder}/{part}")
+        own = {c.lower(): c for c in self.table(table).columns}
+        names = ",".join(own[c.lower()] for c in df.columns)
+        schema, _, plain = table.rpartition(".")
+        text = lambda s: "'" + s.replace("'", "''") + "'"
+        at = f"{_local(self.folder)}/{part}"
+        files = sorted(f for f in os.listdir(at) if f.endswith(".csv") and os.path.getsize(f"{at}/{f}"))
+        self.execute([f"CALL SYSCS_UTIL.SYSCS_IMPORT_DATA({text(schema.upper()) if schema else 'NULL'}, {text(plain.upper())}, {text(names)}, NULL, {text(f'{at}/{f}')}, ',', '\"', 'UTF-8', 0)" for f in files])
+
+    def published(self) -> Store:
+        """The database as it is, closed and packed into one file that every executor reads."""
+        self._connect(";shutdown=true", ends=True)
+        home = _local(self.folder)
+        packed = f"{home}/packed-{uuid.uuid4().hex}.jar"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_STORED, allowZip64=True) as out:
+            for folder, _, files in os.walk(f"{home}/db"):
+                for f in files:
+                    if not f.endswith(".lck"):
+                        out.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), home))
+        return Store(self.spark, f"jdbc:derby:jar:({packed})db", self.options)
