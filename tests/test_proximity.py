@@ -49,3 +49,10 @@ def test_sightings_against_all_pairs(spark, monkeypatch):
         out = proximity.sightings_at(df, proximity.spots_of(spark.createDataFrame(points, POINTS)), q, "line_id", len(instants))
         got = [tuple(r) for r in out.collect()]
         assert len(got) == len(want) and set(got) == want and len(want) > 100
+
+
+def test_q5_makes_trips_of_the_sampled_vehicles_only(spark):
+    from wayfold.plans import benchmark
+
+    plan = benchmark.QUERIES["q5"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2 and "Join Inner, (licence1" in plan and "broadcast" in plan
