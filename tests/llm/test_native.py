@@ -188,3 +188,15 @@ def test_given_labels_support_no_rule(spark):
     data = DATA.replace("0.001", "0.1")
     found = url_filter.evaluate(url_filter.labelled(url_filter.parsed(read(spark, data, "pages")), read(spark, data, "labels")))
     assert found["rules"] == 0 and found["base_rate"] < 0.25
+
+
+def test_all_trusted_texts_are_learned_from(spark):
+    """No id is left out, however many there are; negative, sparse and null ids are found by their bits."""
+    assert quality_rules._chosen(spark.range(30_000).toDF("doc_id"), "doc_id").count() == 30_000
+    ids = [-(2**63), -65, -64, -1, 0, 63, 64, 2**40, 2**63 - 1]
+    chosen = quality_rules._chosen(spark.createDataFrame([(i,) for i in ids] * 2 + [(None,)], "doc_id long"), "doc_id")
+    want = {r["trusted_id"]: r["half"] for r in chosen.collect()}
+    assert sorted(want) == ids
+    others = [i + 1 for i in ids if i + 1 < 2**63 and i + 1 not in want]
+    got = quality_rules.halves(spark.createDataFrame([(i,) for i in [*ids, *others, None]], "id long"), chosen).collect()
+    assert {r["id"]: r["half"] for r in got} == want | dict.fromkeys([*others, None])

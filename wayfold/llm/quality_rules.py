@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import scratch, written
 
 BUCKETS = 1 << 16
-#: Trusted texts learned from, at most: half of them for the target's counts, half for the threshold.
-TRUSTED = 20_000
 #: The threshold: this quantile of the trusted ratios, lowered by MARGIN times its distance to their median.
 QUANTILE, MARGIN = 0.001, 0.1
 LEAST_WORDS = 50
@@ -83,16 +81,27 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return written(d.drop("words"), "measured", keep=True)
 
 
-def _chosen(trusted: DataFrame, id_col: str, limit: int) -> DataFrame:
-    """(trusted_id, half) of at most ``limit`` different trusted ids, those of least hash: 0 for the counts, 1 for the threshold."""
+def _chosen(trusted: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """(trusted_id, half) of the different trusted ids, 0 for the counts, 1 for the threshold: all of them, or with a limit those of least hash."""
     ids = trusted.select(F.col(f"`{id_col}`").cast("long").alias("trusted_id")).where("trusted_id is not null").distinct()
-    order = F.xxhash64("trusted_id", F.lit(31))
-    return ids.orderBy(order, "trusted_id").limit(limit).select("trusted_id", F.pmod(F.xxhash64("trusted_id", F.lit(32)), F.lit(2)).cast("int").alias("half"))
+    if limit is not None:
+        ids = ids.orderBy(F.xxhash64("trusted_id", F.lit(31)), "trusted_id").limit(limit)
+    return ids.select("trusted_id", F.pmod(F.xxhash64("trusted_id", F.lit(32)), F.lit(2)).cast("int").alias("half"))
+
+
+def halves(measures: DataFrame, chosen: DataFrame) -> DataFrame:
+    """measures with the ``half`` of their ids, null for others. The ids are broadcast as bits, 64 neighbours a row, so that no text's n-grams are shuffled."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trusted_id").bitwiseAND(F.lit(63)).cast("int"))
+    bits = chosen.groupBy(F.shiftright("trusted_id", 6).alias("block")).agg(*[F.bit_or(F.when(F.col("half") == h, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{h}") for h in (0, 1)])
+    at = F.col("id").bitwiseAND(F.lit(63)).cast("int")
+    has = lambda h: F.call_function("shiftright", F.col(f"bits{h}"), at).bitwiseAND(F.lit(1)) == 1
+    told = measures.join(F.broadcast(bits), F.shiftright("id", 6) == F.col("block"), "left")
+    return told.select(*[F.col(f"`{c}`") for c in measures.columns], F.when(has(0), 0).when(has(1), 1).alias("half"))
 
 
 def ratios(measures: DataFrame, chosen: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of each bucket, the chosen trusted texts of half 0 to all texts, by add-one smoothed shares. Only ``buckets`` counts reach the driver."""
-    told = measures.join(F.broadcast(chosen), F.col("id") == F.col("trusted_id"), "left")
+    told = halves(measures, chosen)
     grams = told.select(F.explode("grams").alias("b"), F.when(F.col("half") == 0, 1).otherwise(0).alias("target"))
     raw, target = [0] * buckets, [0] * buckets
     for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("target").alias("t")).collect():
@@ -114,17 +123,17 @@ def scored(measures: DataFrame, ratio: list[float]) -> DataFrame:
 
 def threshold(measures: DataFrame, chosen: DataFrame, ratio: list[float]) -> float:
     """The least mean ratio to be kept: QUANTILE of the ratios of the trusted texts of half 1 that pass the base rules, none of which the ratios were counted from, and MARGIN lower by the distance to their median. Without such texts everything is kept."""
-    own = scored(measures.join(F.broadcast(chosen.where("half = 1")), F.col("id") == F.col("trusted_id")), ratio).where(~F.col("base_failed"))
+    own = scored(halves(measures, chosen).where("half = 1"), ratio).where(~F.col("base_failed"))
     low, middle = own.agg(F.percentile("llr", F.array(F.lit(QUANTILE), F.lit(0.5))).alias("q")).first()["q"] or (-math.inf, 0.0)
     return low - MARGIN * (middle - low) if math.isfinite(low) else low
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, buckets: int = BUCKETS, limit: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, buckets: int = BUCKETS, limit: int | None = None) -> DataFrame:
     """(row, the five counts, base_failed, llr, kept) of every row; row is the input row as a struct, or its columns ``keep``.
 
     base_failed: under 50 words, or more than half of the words in repeated windows. Otherwise kept tells whether the
-    mean log ratio reaches ``threshold``. ``trusted`` holds the trusted ids, of which at most ``limit`` are learned
-    from; null ids match nothing, rows that repeat a trusted id all count. A null or empty text has no words and
+    mean log ratio reaches ``threshold``. ``trusted`` holds the trusted ids; all are learned from, or ``limit`` of
+    them if that is given; null ids match nothing, rows that repeat a trusted id all count. A null or empty text has no words and
     fails. Without trusted texts all ratios are 0 and only the base rules decide. An empty table gives an empty
     table. A text is handled within one row, its words in arrays: executors need about 100 bytes of memory for each
     word of the longest text.
