@@ -85,3 +85,29 @@ def test_similar_sets_have_near_fingerprints():
             new = n // 9
             other = np.concatenate([rnd.permutation(own)[: n - new], rnd.integers(-(2**62), 2**62, new)])
             assert ((simhash.majority(own) ^ simhash.majority(other)) & (2**64 - 1)).bit_count() <= simhash.WIDE
+
+
+def test_near_stage_begins_with_the_pigeonhole(spark, monkeypatch):
+    """Texts within three bits are linked through fingerprint parts, before any shingle is probed."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words[:-1], f"z{k}"])) for k in range(6)] + [(9, "something else altogether, said once")]
+    docs, planned, plan = spark.createDataFrame(rows, "doc_id long, text string"), [], simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda *a: planned.append(plan(*a)) or planned[-1])
+    found = []
+    seeds = simhash.seeds
+    monkeypatch.setattr(simhash, "seeds", lambda each: found.append(seeds(each)) or found[-1])
+    assert sorted(r["doc_id"] for r in pipeline.near_stage(spark, docs, DATA).collect()) == [0, 9]
+    assert planned and sum(t + 1 for _, t in planned[0]) == simhash.TAU + 1 and len(found) == 1
+
+
+def test_similar_sets_have_near_wide_fingerprints():
+    rnd = np.random.default_rng(6)
+    bits = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True))
+    wide = lambda own: (simhash.majority(own), *simhash.more(own))
+    for n in (1, 2, 5, 8, 9, 20, 80, 600):
+        for _ in range(150):
+            own = np.unique(rnd.integers(-(2**62), 2**62, n))
+            new = n // 9
+            other = np.unique(np.concatenate([rnd.permutation(own)[: n - new], rnd.integers(-(2**62), 2**62, new)]))
+            part = np.sort(rnd.permutation(own)[: int(np.ceil(0.8 * n))])
+            assert bits(wide(own), wide(other)) <= simhash.FAR and bits(wide(own), wide(part)) <= simhash.FAR

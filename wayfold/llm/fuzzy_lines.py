@@ -106,12 +106,20 @@ def alike(x: Column, y: Column, similarity: float, shingled: Callable[[Column],
     return F.exists(F.array(F.struct(shingled(x).alias("x"), shingled(y).alias("y"))), lambda p: _similar(p["x"], p["y"], similarity))
 
 
-def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    both = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
     """(a, b) of similar nodes that share a key of entries_ (key, node): enough pairs to join all that are.
 
     each has a ``light`` column for each node, by which ``near`` rules most other pairs out; ``verified`` gives those
     of the pairs (a, b) that are similar. Lookups of a key keep all entries, so their rows follow the input's, however
-    large a bucket is; hot keys are left to adaptive execution, which splits them.
+    large a bucket is; hot keys are left to adaptive execution, which splits them. ``known`` may give similar pairs that
+    were found before; then every node first meets the leader that shares buckets with the most others only, and
+    of the other leaders those that aren't joined with it.
     """
     sizes = written(entries_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     sized = entries_.join(sizes, "key", "left").where("size is not null")
@@ -120,8 +128,18 @@ def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column]
     leaders = written(members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first")), "leaders")
     met = entries_.join(leaders, "key", "left").where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     lights = each.select("node", "light")
+    if known is not None:
+        met = _apart(met, components(known))
     both = met.join(lights.toDF("a", "light_a"), "a").join(lights.toDF("b", "light_b"), "b")
-    out = written(verified(written(both.where(near(F.col("light_a"), F.col("light_b"))).select("a", "b"), "near-leaders")), "links")
+    chosen = written(both.where(near(F.col("light_a"), F.col("light_b"))).select("a", "b"), "near-leaders")
+    if known is None:
+        out = written(verified(chosen), "links")
+    else:
+        heavy = chosen.join(weighed.select(F.col("node").alias("a"), "weight"), "a")
+        best = written(heavy.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b"), "near-best")
+        out = written(known.unionByName(verified(best)), "links")
+        others = _apart(chosen.join(best, ["a", "b"], "left_anti"), components(out))
+        out = written(out.unionByName(verified(written(others, "near-others"))), "links")
     # every node has met its buckets' leaders; what is left are the others of buckets of more than two, if they aren't joined
     rooted = weighed.join(components(out), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     by = Window.partitionBy("key")

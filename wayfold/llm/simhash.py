@@ -6,13 +6,15 @@ entries and candidate pairs expected from bit statistics of all fingerprints. Pr
 of each fingerprint's key and the keys within t_i bits; the distance is verified inside the join, so only true links
 leave it. Texts with one fingerprint are one node, and never paired.
 
-``drop_near_duplicates`` removes near copies by exact similarity: five-word shingles, Jaccard 0.8. Such pairs differ in
-ten bits on average and some in sixteen, where a pigeonhole over 64 bits would list more pairs than it excludes. So
-its pairs are probed through the shingles themselves: with all shingles in one order, two similar documents have one
-of their first n - ceil(0.8 n) + 1 in common, n being each one's own number. Any order is exact; this one puts shingles
-that are common in a sample last, and goes by hash among the others, so that a passage that many documents share
-brings few of them together. Of documents that meet, only those whose fingerprints come within WIDE bits are fetched
-and compared, as the lines of fuzzy_lines are; a pair of just that similarity lies beyond with a chance of 0.00004.
+``drop_near_duplicates`` removes near copies by exact similarity: five-word shingles, Jaccard 0.8. It begins with the
+same method: fingerprints of those shingles, linked within TAU bits through the pigeonhole, union-find; each document is
+compared with the first one of its component. Pairs of just that similarity differ in ten bits on average and some in
+sixteen, where a pigeonhole over 64 bits would list more pairs than it excludes. So the pairs that are left are probed
+through the shingles themselves: with all shingles in one order, two similar documents have one of their first
+n - ceil(0.8 n) + 1 in common, n being each one's own number. Any order is exact; this one puts shingles that are common
+in a sample last, and goes by hash among the others, so that a passage that many documents share brings few of them
+together. Of documents that meet, only those whose SimHashes of 192 bits come within FAR are fetched and compared, as
+the lines of fuzzy_lines are; of pairs of just that similarity one in 25,000 lies beyond the first 64 bits' limit (WIDE), fewer beyond this one.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ CANDIDATE_COST = 24
 BLOCK = 1 << 20
 #: Of the removal of near copies: words of a shingle, least similarity, and the largest distance of fingerprints that is compared.
 WORDS, SIMILARITY, WIDE = 5, 0.8, 22
+#: The same of fingerprints with two more words of bits, each of the hashes times an odd number.
+FAR, ODD = 60, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Documents in the sample of shingles, in how many of them a shingle counts as common, and how many such are listed. They change the order only.
 SAMPLE, COMMON, LISTED = 5000, 3, 200_000
 
@@ -233,6 +237,16 @@ def majority(hashes: np.ndarray) -> int:
     return _signed(sum(1 << k for k in np.nonzero(2 * ones > len(hashes))[0].tolist()))
 
 
+def more(hashes: np.ndarray) -> list[int]:
+    """Two further SimHashes, of other hashes of the same shingles."""
+    out = []
+    for odd in ODD:
+        x = hashes.view(np.uint64) * np.uint64(odd)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(odd)
+        out.append(majority((x ^ (x >> np.uint64(29))).view(np.int64)))
+    return out
+
+
 def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The first shingles in the order of all, so many that two similar sets have one of them in common."""
     take = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
@@ -256,21 +270,33 @@ def _common(texts: DataFrame, total: int) -> np.ndarray:
 
 
 def marks(keyed: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, i, h, fp, n, prefix) of every row (i, h, text): a hash of its keys, the keys, its fingerprint, how many shingles it has, the first ones of them."""
+    """(node, i, h, fp, fp1, fp2, n, prefix) of every row (i, h, text): a hash of its keys, the keys, its fingerprints, how many shingles it has, the first ones of them."""
     spark = keyed.sparkSession
     held = spark.sparkContext.broadcast(_common(keyed, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [hashes_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
-            fps = pa.array([majority(x) for x in own], pa.int64())
+            fps = [pa.array(v, pa.int64()) for v in zip(*[(majority(x), *more(x)) for x in own], strict=True)] or [pa.array([], pa.int64())] * 3
             first = pa.array([prefix(x, held.value, similarity) for x in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), fps, pa.array([len(x) for x in own], pa.int64()), first], names=["i", "h", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), *fps, pa.array([len(x) for x in own], pa.int64()), first], names=["i", "h", "fp", "fp1", "fp2", "n", "prefix"])
 
-    out = keyed.select("i", "h", "text").mapInArrow(run, "i long, h long, fp long, n long, prefix array<long>")
+    out = keyed.select("i", "h", "text").mapInArrow(run, "i long, h long, fp long, fp1 long, fp2 long, n long, prefix array<long>")
     return written(out.select(F.xxhash64("i", "h").alias("node"), "*"), "near-marks")
 
 
+def seeds(each: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b) of each node and the first one of its component by fingerprints: links within tau bits through the pigeonhole, union-find."""
+    classes = written(each.groupBy("fp").agg(F.min("node").alias("first")), "near-classes")
+    n = classes.count()
+    both = bit_counts(classes) if n else np.zeros((BITS, BITS))
+    roots = components(links(classes.select("fp"), plan(both, n, tau), tau))
+    rooted = written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "near-fingerprints")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("a"))
+    named = rooted.join(heads, "root").select("fp", "a")
+    return each.select("fp", F.col("node").alias("b")).join(named, "fp").where("a != b").select("a", "b").distinct()
+
+
 def sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, held): the hashed shingles of the given nodes."""
 
@@ -299,7 +325,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         def near(x: Column, y: Column) -> Column:
             sizes = F.least(x["n"], y["n"]) >= F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"])
-            return sizes & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= WIDE)
+            bits = F.bit_count(x["fp"].bitwiseXOR(y["fp"]))
+            more_bits = [F.bit_count(x[c].bitwiseXOR(y[c])) for c in ("fp1", "fp2")]
+            return sizes & (bits <= WIDE) & (bits + more_bits[0] + more_bits[1] <= FAR)
 
         def verified(pairs: DataFrame) -> DataFrame:
             ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -307,8 +335,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
             return both.where(alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
-        light = each.select("node", F.struct("fp", "n").alias("light"))
-        roots = components(joined(light, each.select(F.explode("prefix").alias("key"), "node"), near, verified))
+        light = each.select("node", F.struct("fp", "fp1", "fp2", "n").alias("light"))
+        first = written(verified(written(seeds(each), "near-seeds")), "near-known")
+        roots = components(joined(light, each.select(F.explode("prefix").alias("key"), "node"), near, verified, first))
         rooted = each.select("node", "i", "h").join(roots, "node", "left")
         rooted = written(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"), "near-rooted")
         whole = written(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "near-firsts")
