@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import fuzzy_lines
+from wayfold.llm import common, fuzzy_lines
 
 
 def plain_shingles(line, size=fuzzy_lines.SHINGLE):
@@ -157,3 +157,53 @@ def test_unique_lines_of_rows_without_an_id_stay(spark):
 def test_empty_and_odd_rows(docs, rows, empty):
     assert fuzzy_lines.report(empty).count() == 0 and fuzzy_lines.drop_lines(empty).columns == empty.columns
     assert fuzzy_lines.report(docs).count() == len(rows)
+
+
+def test_changed_copies_of_a_line_are_compared_where_they_may_be_similar(spark, monkeypatch):
+    """Copies that are similar neither to their line nor to each other aren't compared pair by pair, and those that are lose no link."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 8)))
+    base, copies = [word() for _ in range(60)], []
+    for k in range(60):
+        new = list(base)
+        for at in rnd.sample(range(60), 5):
+            new[at] = word()
+        copies.append(" ".join(new))
+        if k % 10 == 0:
+            copies.append(" ".join([*new[:-1], word()]))
+    rows = [(i, x) for i, x in enumerate([" ".join(base), *copies])]
+    made, plain = {}, fuzzy_lines.written
+
+    def counted(df, tag, keep=False):
+        out = plain(df, tag, keep)
+        made[tag] = out.count() if tag == "near-rest" else 0
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "written", counted)
+    out = fuzzy_lines.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = Counter((i, tuple(x)) for (i, _), x in zip(rows, plain_dropped(rows), strict=True))
+    assert Counter((r["id"], tuple(r["dropped"])) for r in out.collect()) == want
+    assert sum(len(x) for _, x in want) >= 6 and made["near-rest"] <= 60, made
+
+
+def test_odd_sketches(spark):
+    """As made one by one; two of them differ in no more bits than their sets do in elements."""
+    df = spark.createDataFrame([*enumerate(LINES)], "node long, line string")
+    got = {r["node"]: r for r in fuzzy_lines.sketches(df).collect()}
+    for i, line in enumerate(LINES):
+        words = [0] * fuzzy_lines.ODD_WORDS
+        for h in hashes(spark, line):
+            words[h >> 6 & (fuzzy_lines.ODD_WORDS - 1)] ^= 1 << (h & 63)
+        assert got[i]["n"] == len(plain_shingles(line)) and [x & (2**64 - 1) for x in got[i]["odd"]] == words
+    for i, j in itertools.combinations(got, 2):
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(got[i]["odd"], got[j]["odd"], strict=True))
+        assert bits <= len(plain_shingles(LINES[i]) ^ plain_shingles(LINES[j]))
+
+
+def test_among_keeps_every_row_with_a_match(spark):
+    keys = [0, 1, -1, 63, 64, -64, 2**63 - 1, -(2**63), 5 << 40, (5 << 40) + 1]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([*keys, *range(1000, 3000)])], "k long, i long")
+    got = common.among(left, spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert got.columns == left.columns
+    rows = sorted(r["k"] for r in got.collect())
+    assert rows == sorted(keys)

@@ -10,8 +10,10 @@ aggregate. Lines that share a key are candidates:
 * each line of a bucket with the bucket's leader, the line that shares buckets with the most others: of a line and its
   changed copies that is the line itself, which most copies are similar to though not to each other. Union-find joins
   those that are similar, so a bucket of copies costs one comparison a line, and a bucket of two lines is done;
-* of the others of buckets that still hold several components, the pairs of lines of different components that agree on
-  AGREED minima.
+* of the others, the pairs of lines that have a leader in common but lie in different components, if they agree on
+  AGREED minima and their odd sketches don't rule them out. An odd sketch has a bit for each number that a shingle's
+  hash may end in, set if an odd number of shingles do; two of them differ in no more bits than the lines in shingles,
+  so it rules out no similar pair. Changed copies of one line are compared exactly only where they may be similar.
 
 So no two similar lines of a bucket stay apart, and pairs that are joined already or aren't similar are never listed.
 Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever
@@ -26,7 +28,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import attach, scratch, written
+from wayfold.llm.common import among, attach, scratch, written
 from wayfold.llm.components import components
 
 SHINGLE = 12
@@ -40,6 +42,8 @@ PERMUTATIONS = 16
 MASKS = (0x13C6EF372FE94F82, 0x54FF53A55F1D36F1, 0x9B05688C2B3E6C1F, 0xE0CD19137E2179A5)
 #: Least number of equal minima of lines that are compared exactly: at similarity 0.8 two lines in 4,000 have fewer.
 AGREED = 7
+#: 64-bit words of a set's odd sketch, a power of two.
+ODD_WORDS = 16
 #: Shingle positions handled by one row.
 STEP = 4
 
@@ -112,21 +116,52 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+def odd_bits(x: Column, y: Column) -> Column:
+    """In how many bits two odd sketches (arrays of ODD_WORDS longs) differ: never more than the elements in which their sets do."""
+    differ = [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(ODD_WORDS)]
+    return sum(differ[1:], differ[0])
+
+
+def close(x: Column, y: Column, similarity: float) -> Column:
+    """False only for sets that surely aren't similar. x and y have their sizes n and odd sketches ``odd``.
+
+    Sets of that Jaccard similarity differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    """
+    sizes = F.least(x["n"], y["n"]) >= F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"])
+    return sizes & (odd_bits(x["odd"], y["odd"]) <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (x["n"] + y["n"]))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, n, odd) of (node, line): how many different shingles, and of their hashes' last bits, as numbers, which occur an odd number of times."""
+    each = texts.select("node", F.explode(hashed(F.col("line"))).alias("h")).select("node", F.expr(f"int(h >> 6 & {ODD_WORDS - 1})").alias("word"), F.expr("shiftleft(1L, int(h & 63))").alias("bit"))
+    words = [F.expr(f"bit_xor(if(word = {i}, bit, 0L))").alias(f"w{i}") for i in range(ODD_WORDS)]
+    return each.groupBy("node").agg(F.count("*").alias("n"), *words).select("node", "n", F.array(*[f"w{i}" for i in range(ODD_WORDS)]).alias("odd"))
+
+
+def joined(
+    each: DataFrame,
+    entries_: DataFrame,
+    near: Callable[[Column, Column], Column],
+    verified: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]],
+    known: DataFrame | None = None,
+) -> DataFrame:
     """(a, b) of similar nodes that share a key of entries_ (key, node): enough pairs to join all that are.
 
     each has a ``light`` column for each node, by which ``near`` rules most other pairs out; ``verified`` gives those
-    of the pairs (a, b) that are similar. Lookups of a key keep all entries, so their rows follow the input's, however
-    large a bucket is; hot keys are left to adaptive execution, which splits them. ``known`` may give similar pairs that
-    were found before; then every node first meets the leader that shares buckets with the most others only, and
-    of the other leaders those that aren't joined with it.
+    of the pairs (a, b) that are similar. Every node meets the leaders of its keys; those of one leader that stay apart
+    meet each other once, however many keys they share. ``finer`` gives, for the nodes (node) of these, a larger
+    ``light``, the test that goes with it and the comparison of their pairs. Hot leaders are left to adaptive execution,
+    which splits them. ``known`` may give similar pairs that were found before; then every node first meets the leader
+    that shares buckets with the most others only, and of the other leaders those that aren't joined with it.
     """
     sizes = written(entries_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-    sized = entries_.join(sizes, "key", "left").where("size is not null")
+    sized = among(entries_, sizes, "key").join(sizes, "key")
     weighed = written(sized.groupBy("node").agg(F.collect_list("key").alias("keys"), F.sum("size").alias("weight")), "weighed")
     members = weighed.select("node", "weight", F.explode("keys").alias("key"))
-    leaders = written(members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first")), "leaders")
-    met = entries_.join(leaders, "key", "left").where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    leaders = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first"))
+    led = written(members.select("key", "node").join(leaders, "key").where("first != node").select("first", "node").distinct(), "led")
+    met = led.select(F.col("first").alias("a"), F.col("node").alias("b"))
     lights = each.select("node", "light")
     if known is not None:
         met = _apart(met, components(known))
@@ -140,16 +175,17 @@ def joined(each: DataFrame, entries_: DataFrame, near: Callable[[Column, Column]
         out = written(known.unionByName(verified(best)), "links")
         others = _apart(chosen.join(best, ["a", "b"], "left_anti"), components(out))
         out = written(out.unionByName(verified(written(others, "near-others"))), "links")
-    # every node has met its buckets' leaders; what is left are the others of buckets of more than two, if they aren't joined
-    rooted = weighed.join(components(out), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    by = Window.partitionBy("key")
-    opened = rooted.select("key", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"), F.count("*").over(by).alias("size"))
-    left = written(opened.where("low != high and size > 2").select("key", "node", "root").join(lights, "node"), "open")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "root", "light")]) for t in "ab")
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    rest = x.join(y, (x.key == y.key) & apart & near(F.col("light_a"), F.col("light_b")))
-    pairs = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return written(out.unionByName(verified(written(pairs, "near-rest"))), "links")
+    # every node has met its leaders; what is left are those of one leader that lie in different components
+    rooted = led.join(components(out), "node", "left").select("first", "node", F.coalesce("root", "node").alias("root"))
+    by = Window.partitionBy("first")
+    opened = rooted.select("first", "node", "root", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high"))
+    left = written(opened.where("low != high").select("first", "node", "root"), "open")
+    fine, close_, verified_ = finer(written(left.select("node").distinct(), "open-nodes"))
+    left = left.join(fine.select("node", "light"), "node")
+    x, y = (left.select(*[F.col(c).alias(f"{c}_{t}") for c in ("first", "node", "root", "light")]) for t in "ab")
+    apart = (F.col("first_a") == F.col("first_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = x.join(y, apart & close_(F.col("light_a"), F.col("light_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return written(out.unionByName(verified_(written(pairs, "near-rest"))), "links")
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
@@ -166,23 +202,33 @@ def find(docs: DataFrame, places: DataFrame, text_col: str = "text", similarity:
     sizes = each.agg(F.count("*").alias("nodes"), F.sum("n").alias("lines")).first()
     total = sizes["lines"] or 0
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def contents(ends: DataFrame) -> DataFrame:
         wanted = written(each.select("node", "k1", "k2", "n").join(ends, "node"), "wanted")
-        texts = written(attach(lines, wanted, ["k1", "k2"], "n", total).select("node", "line").distinct(), "line-texts")
+        return written(attach(among(lines, wanted, "k1"), wanted, ["k1", "k2"], "n", total).select("node", "line").distinct(), "line-texts")
+
+    def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
         return both.where(alike(F.col("x"), F.col("y"), similarity, hashed)).select("a", "b")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        return compared(pairs, contents(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+
     def near(x: Column, y: Column) -> Column:
         return sum((F.when(x[j] == y[j], 1).otherwise(0) for j in range(1, PERMUTATIONS)), F.when(x[0] == y[0], 1).otherwise(0)) >= AGREED
 
     light = each.select("node", F.array(*[f"m{j}" for j in range(PERMUTATIONS)]).alias("light"))
-    roots = components(joined(light, entries(each), near, verified))
+
+    def finer(ends: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
+        texts = contents(ends)
+        fine = written(light.join(sketches(texts), "node").select("node", F.struct("n", "odd", F.col("light").alias("minima")).alias("light")), "sketches")
+        return fine, lambda x, y: close(x, y, similarity) & near(x["minima"], y["minima"]), lambda pairs: compared(pairs, texts)
+
+    roots = components(joined(light, entries(each), near, verified, finer))
     groups = each.select("node", "k1", "k2", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     groups = written(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")), "line-groups")
     placed = places.select("row", "id", F.explode("lines").alias("x")).select("row", "id", "x.at", "x.k1", "x.k2")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at").alias("place")
-    held = written(attach(placed, groups, ["k1", "k2"], "n", total).select(at, "component"), "copies")
+    held = written(attach(among(placed, groups, "k1"), groups, ["k1", "k2"], "n", total).select(at, "component"), "copies")
     whole = written(held.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("size")), "firsts")
     out = attach(held, whole, ["component"], "size", held.count())
     return out.select("place.row", "place.at", "component", F.col("place").eqNullSafe(F.col("first")).alias("kept"))

@@ -14,14 +14,16 @@ through the shingles themselves: with all shingles in one order, two similar doc
 n - ceil(0.8 n) + 1 in common, n being each one's own number. Any order is exact; this one puts shingles that are common
 in a sample last, and goes by hash among the others, so that a passage that many documents share brings few of them
 together. Of documents that meet, only those whose SimHashes of 192 bits come within FAR are fetched and compared, as
-the lines of fuzzy_lines are; of pairs of just that similarity one in 25,000 lies beyond the first 64 bits' limit (WIDE), fewer beyond this one.
+the lines of fuzzy_lines are, and of those that have a leader in common only those whose odd sketches of the shingles
+allow it, which rule out no similar pair. Of pairs of just that similarity one in 25,000 lies beyond the first 64 bits'
+limit (WIDE), fewer beyond that of the 192.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import attach, checkpointed, scratch, ship, written
 from wayfold.llm.components import components
-from wayfold.llm.fuzzy_lines import alike, joined
+from wayfold.llm.fuzzy_lines import ODD_WORDS, alike, close, joined
 
 BITS = 64
 #: Largest distance of a link.
@@ -247,6 +249,12 @@ def more(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def odd(hashes: np.ndarray) -> list[int]:
+    """The odd sketch of different shingles, as that of fuzzy_lines: its words, signed."""
+    size = 64 * ODD_WORDS
+    return np.packbits((np.bincount(hashes & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The first shingles in the order of all, so many that two similar sets have one of them in common."""
     take = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
@@ -270,7 +278,7 @@ def _common(texts: DataFrame, total: int) -> np.ndarray:
 
 
 def marks(keyed: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, i, h, fp, fp1, fp2, n, prefix) of every row (i, h, text): a hash of its keys, the keys, its fingerprints, how many shingles it has, the first ones of them."""
+    """(node, i, h, fp, fp1, fp2, n, odd, prefix) of every row (i, h, text): a hash of its keys, the keys, its fingerprints, how many shingles it has, their odd sketch, the first ones of them."""
     spark = keyed.sparkSession
     held = spark.sparkContext.broadcast(_common(keyed, total))
 
@@ -279,9 +287,10 @@ def marks(keyed: DataFrame, total: int, similarity: float = SIMILARITY) -> DataF
             own = [hashes_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
             fps = [pa.array(v, pa.int64()) for v in zip(*[(majority(x), *more(x)) for x in own], strict=True)] or [pa.array([], pa.int64())] * 3
             first = pa.array([prefix(x, held.value, similarity) for x in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), *fps, pa.array([len(x) for x in own], pa.int64()), first], names=["i", "h", "fp", "fp1", "fp2", "n", "prefix"])
+            sketch = pa.array([odd(x) for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), *fps, pa.array([len(x) for x in own], pa.int64()), sketch, first], names=["i", "h", "fp", "fp1", "fp2", "n", "odd", "prefix"])
 
-    out = keyed.select("i", "h", "text").mapInArrow(run, "i long, h long, fp long, fp1 long, fp2 long, n long, prefix array<long>")
+    out = keyed.select("i", "h", "text").mapInArrow(run, "i long, h long, fp long, fp1 long, fp2 long, n long, odd array<long>, prefix array<long>")
     return written(out.select(F.xxhash64("i", "h").alias("node"), "*"), "near-marks")
 
 
@@ -336,8 +345,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             return both.where(alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
         light = each.select("node", F.struct("fp", "fp1", "fp2", "n").alias("light"))
+
+        def finer(ends: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
+            fine = each.join(ends, "node").select("node", F.struct("fp", "fp1", "fp2", "n", "odd").alias("light")).dropDuplicates(["node"])
+            return fine, lambda x, y: near(x, y) & close(x, y, similarity), verified
+
         first = written(verified(written(seeds(each), "near-seeds")), "near-known")
-        roots = components(joined(light, each.select(F.explode("prefix").alias("key"), "node"), near, verified, first))
+        roots = components(joined(light, each.select(F.explode("prefix").alias("key"), "node"), near, verified, finer, first))
         rooted = each.select("node", "i", "h").join(roots, "node", "left")
         rooted = written(rooted.select(F.coalesce("root", "node").alias("root"), F.col("i").isNull().alias("none"), "i", "h"), "near-rooted")
         whole = written(rooted.groupBy("root").agg(F.min(F.struct("none", "i", "h")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "near-firsts")
