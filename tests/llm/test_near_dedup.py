@@ -5,7 +5,7 @@ from itertools import combinations
 import corpus_pipeline as pipeline
 import numpy as np
 
-from wayfold.llm import simhash
+from wayfold.llm import fuzzy_lines, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -111,3 +111,39 @@ def test_similar_sets_have_near_wide_fingerprints():
             other = np.unique(np.concatenate([rnd.permutation(own)[: n - new], rnd.integers(-(2**62), 2**62, new)]))
             part = np.sort(rnd.permutation(own)[: int(np.ceil(0.8 * n))])
             assert bits(wide(own), wide(other)) <= simhash.FAR and bits(wide(own), wide(part)) <= simhash.FAR
+
+
+def test_copies_that_stay_apart_meet_once(spark, monkeypatch):
+    """Changed copies of one text share many keys; they are listed by leader, and those that can't be similar aren't compared."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for k in range(40):
+        new = list(base)
+        for at in rnd.sample(range(400), 22):
+            new[at] = f"c{k}x{at}"
+        texts.append(" ".join(new))
+        if k % 8 == 0:
+            texts.append(" ".join([*new[:-3], "other"]))
+    made, plain = {}, fuzzy_lines.written
+
+    def counted(df, tag, keep=False):
+        out = plain(df, tag, keep)
+        made[tag] = out.count() if tag in ("open", "near-rest") else 0
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "written", counted)
+    monkeypatch.setattr(simhash, "_common", lambda *_: np.array([], dtype=np.int64))  # any order is exact; by hash alone the copies share many keys
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.near_stage(spark, docs, DATA).collect()) == plain_staying(rows)
+    assert made["open"] <= 10 * len(rows) and made["near-rest"] <= len(rows), made
+
+
+def test_odd_sketches_differ_in_no_more_than_the_sets():
+    rnd = np.random.default_rng(8)
+    for n in (1, 5, 40, 700, 5000):
+        own = np.unique(rnd.integers(-(2**62), 2**62, n))
+        other = np.unique(np.concatenate([rnd.permutation(own)[: n - n // 5], rnd.integers(-(2**62), 2**62, n // 5)]))
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(simhash.odd(own), simhash.odd(other), strict=True))
+        assert bits <= len(np.setxor1d(own, other)) and len(simhash.odd(own)) == fuzzy_lines.ODD_WORDS
