@@ -186,6 +186,28 @@ def test_changed_copies_of_a_line_are_compared_where_they_may_be_similar(spark,
     assert sum(len(x) for _, x in want) >= 6 and made["near-rest"] <= 60, made
 
 
+def test_texts_are_fetched_once(spark, line_rows, monkeypatch):
+    """One text of each line that shares a key, however many copies it has, in one pass over the documents."""
+    made, plain = defaultdict(list), fuzzy_lines.written
+
+    def counted(df, tag, keep=False):
+        out = plain(df, tag, keep)
+        made[tag].append(out.count() if tag in ("line-texts", "weighed") else 0)
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "written", counted)
+    fuzzy_lines.report(spark.createDataFrame([(i, t) for i, t in line_rows], "doc_id long, text string"))
+    assert len(made["line-texts"]) == 1 and made["line-texts"] == made["weighed"] and made["weighed"][0] > 80, made
+
+
+def test_similarity_at_the_threshold(spark):
+    """As by whole numbers, for every size of two sets together up to 40."""
+    cases = [(list(range(same + (all_ - same) // 2)), [*range(same), *range(same + (all_ - same) // 2, all_)], same, all_) for all_ in range(1, 41) for same in range(all_ // 2, all_ + 1)]
+    df = spark.createDataFrame(cases, "x array<long>, y array<long>, same long, whole long")
+    for r in df.select("same", "whole", fuzzy_lines._similar(F.col("x"), F.col("y"), 0.8).alias("found")).collect():
+        assert r["found"] == (5 * r["same"] >= 4 * r["whole"]), r
+
+
 def test_odd_sketches(spark):
     """As made one by one; two of them differ in no more bits than their sets do in elements."""
     df = spark.createDataFrame([*enumerate(LINES)], "node long, line string")

@@ -16,7 +16,7 @@ aggregate. Lines that share a key are candidates:
   so it rules out no similar pair. Changed copies of one line are compared exactly only where they may be similar.
 
 So no two similar lines of a bucket stay apart, and pairs that are joined already or aren't similar are never listed.
-Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes); of each component's lines, wherever
+Candidates are compared by exact Jaccard on their shingles (as 64-bit hashes), their texts being fetched once; of each component's lines, wherever
 they stand, the first one stays. Every row of the input is a document of its own, whatever its id.
 """
 
@@ -50,9 +50,9 @@ STEP = 4
 
 def hashed(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the different shingles of a line."""
-    at = lambda b: F.sequence(F.lit(0), F.greatest((F.length(b) / 2).cast("int") - size, F.lit(0)))
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.length(b) - (2 * size - 1), F.lit(1)), F.lit(2))
     # an array of one: the line is encoded once, not at every position
-    each = F.transform(F.array(F.encode(F.lower(line), "UTF-16BE")), lambda b: F.transform(at(b), lambda p: F.xxhash64(F.substring(b, 2 * p + 1, 2 * size))))
+    each = F.transform(F.array(F.encode(F.lower(line), "UTF-16BE")), lambda b: F.transform(at(b), lambda p: F.xxhash64(F.substring(b, p, F.lit(2 * size)))))
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
@@ -82,11 +82,12 @@ def nodes(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     at = units.select("k1", "k2", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("p"))
     own = at.select("k1", "k2", (F.col("p") == 0).cast("long").alias("one"), *[F.expr(f"xxhash64(substring(b, 2 * least(p + {i}, last) + 1, {2 * size}))").alias(f"h{i}") for i in range(STEP)])
     mixed = own.select("k1", "k2", "one", *[c.alias(f"x{i}_{j}") for i in range(STEP) for j, c in enumerate((F.col(f"h{i}"), F.xxhash64(f"h{i}", F.lit(1))))])
-    # two hashes, four masks, and of each the upper and the lower half
+    mixed = mixed.select("*", *[F.shiftleft(f"x{i}_{j}", 32).alias(f"y{i}_{j}") for i in range(STEP) for j in range(2)])
+    # two hashes, four masks, and of each the upper and the lower half; no term comes twice, as Spark keeps repeated ones in fields
     least = []
     for j, mask in product(range(2), MASKS):
-        turned = [F.col(f"x{i}_{j}").bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask)) for i in range(STEP)]
-        least += [F.least(*turned), F.least(*[F.shiftleft(x, 32) for x in turned])]
+        for half, by in (("x", mask), ("y", mask << 32 & (1 << 64) - 1)):
+            least.append(F.least(*[F.col(f"{half}{i}_{j}").bitwiseXOR(F.lit(by - (1 << 64) if by >> 63 else by)) for i in range(STEP)]))
     least = [c.alias(f"m{j}") for j, c in enumerate(least)]
     minima = mixed.select("k1", "k2", "one", *least).groupBy("k1", "k2").agg(F.sum("one").alias("n"), *[F.min(f"m{j}").alias(f"m{j}") for j in range(PERMUTATIONS)])
     return minima.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(PERMUTATIONS)])
@@ -100,9 +101,10 @@ def entries(each: DataFrame) -> DataFrame:
 
 def _similar(x: Column, y: Column, similarity: float) -> Column:
     """Whether two sets of shingles have that Jaccard similarity; sizes that rule it out are tested first."""
-    same = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) >= F.lit(similarity - 1e-9) * F.greatest(F.size(x), F.size(y))
-    return sizes & (same >= F.lit(similarity - 1e-9) * (F.size(x) + F.size(y) - same))
+    same, least = F.size(F.array_intersect(x, y)), similarity - 1e-9
+    sizes = F.least(F.size(x), F.size(y)) >= F.lit(least) * F.greatest(F.size(x), F.size(y))
+    # same >= least * (size of both together), solved for same: it is made once
+    return sizes & (same * F.lit(1 + least) >= F.lit(least) * (F.size(x) + F.size(y)))
 
 
 def alike(x: Column, y: Column, similarity: float, shingled: Callable[[Column], Column] = lambda c: c) -> Column:
@@ -145,6 +147,7 @@ def joined(
     verified: Callable[[DataFrame], DataFrame],
     finer: Callable[[DataFrame], tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]],
     known: DataFrame | None = None,
+    begun: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(a, b) of similar nodes that share a key of entries_ (key, node): enough pairs to join all that are.
 
@@ -153,7 +156,8 @@ def joined(
     meet each other once, however many keys they share. ``finer`` gives, for the nodes (node) of these, a larger
     ``light``, the test that goes with it and the comparison of their pairs. Hot leaders are left to adaptive execution,
     which splits them. ``known`` may give similar pairs that were found before; then every node first meets the leader
-    that shares buckets with the most others only, and of the other leaders those that aren't joined with it.
+    that shares buckets with the most others only, and of the other leaders those that aren't joined with it. ``begun``
+    may give, for the nodes (node) that share a key, their rows of each; all comparisons are between these.
     """
     sizes = written(entries_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     sized = among(entries_, sizes, "key").join(sizes, "key")
@@ -162,7 +166,7 @@ def joined(
     leaders = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first"))
     led = written(members.select("key", "node").join(leaders, "key").where("first != node").select("first", "node").distinct(), "led")
     met = led.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    lights = each.select("node", "light")
+    lights = (each if begun is None else begun(weighed.select("node"))).select("node", "light")
     if known is not None:
         met = _apart(met, components(known))
     both = met.join(lights.toDF("a", "light_a"), "a").join(lights.toDF("b", "light_b"), "b")
@@ -202,33 +206,39 @@ def find(docs: DataFrame, places: DataFrame, text_col: str = "text", similarity:
     sizes = each.agg(F.count("*").alias("nodes"), F.sum("n").alias("lines")).first()
     total = sizes["lines"] or 0
 
-    def contents(ends: DataFrame) -> DataFrame:
-        wanted = written(each.select("node", "k1", "k2", "n").join(ends, "node"), "wanted")
-        return written(attach(among(lines, wanted, "k1"), wanted, ["k1", "k2"], "n", total).select("node", "line").distinct(), "line-texts")
+    sharing: list[DataFrame] = []  # (node, light) and (node, line) of the lines that share a key
 
-    def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-        return both.where(alike(F.col("x"), F.col("y"), similarity, hashed)).select("a", "b")
+    def begun(ends: DataFrame) -> DataFrame:
+        number = F.xxhash64("node").alias("number")
+        few = written(among(each.select("*", number), ends.select(number), "number").drop("number").join(ends, "node"), "sharing")
+        # one of each line's copies, taken in each task before any is shuffled
+        texts = among(lines, few, "k1").groupBy("k1", "k2").agg(F.min("line").alias("line")).join(few.select("node", "k1", "k2"), ["k1", "k2"])
+        sharing.extend([few.select("node", light), written(texts.select("node", "line"), "line-texts")])
+        return sharing[0]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return compared(pairs, contents(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+        both = pairs.join(sharing[1].toDF("a", "x"), "a").join(sharing[1].toDF("b", "y"), "b")
+        # rows of their own, not a function of the pair: the shingles are made once and met by compiled code
+        sets = both.select("a", "b", F.explode(F.array(F.struct(hashed(F.col("x")).alias("x"), hashed(F.col("y")).alias("y")))).alias("sets"))
+        return sets.where(_similar(F.col("sets.x"), F.col("sets.y"), similarity)).select("a", "b")
 
     def near(x: Column, y: Column) -> Column:
         return sum((F.when(x[j] == y[j], 1).otherwise(0) for j in range(1, PERMUTATIONS)), F.when(x[0] == y[0], 1).otherwise(0)) >= AGREED
 
-    light = each.select("node", F.array(*[f"m{j}" for j in range(PERMUTATIONS)]).alias("light"))
+    light = F.array(*[f"m{j}" for j in range(PERMUTATIONS)]).alias("light")
 
     def finer(ends: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
-        texts = contents(ends)
-        fine = written(light.join(sketches(texts), "node").select("node", F.struct("n", "odd", F.col("light").alias("minima")).alias("light")), "sketches")
-        return fine, lambda x, y: close(x, y, similarity) & near(x["minima"], y["minima"]), lambda pairs: compared(pairs, texts)
+        minima, texts = (x.join(ends, "node") for x in sharing)
+        fine = written(minima.join(sketches(texts), "node").select("node", F.struct("n", "odd", F.col("light").alias("minima")).alias("light")), "sketches")
+        return fine, lambda x, y: close(x, y, similarity) & near(x["minima"], y["minima"]), verified
 
-    roots = components(joined(light, entries(each), near, verified, finer))
+    roots = components(joined(each, entries(each), near, verified, finer, begun=begun))
     groups = each.select("node", "k1", "k2", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     groups = written(groups.select("k1", "k2", "n", F.coalesce("root", "node").alias("component")), "line-groups")
     placed = places.select("row", "id", F.explode("lines").alias("x")).select("row", "id", "x.at", "x.k1", "x.k2")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at").alias("place")
-    held = written(attach(among(placed, groups, "k1"), groups, ["k1", "k2"], "n", total).select(at, "component"), "copies")
+    placed = written(among(placed, groups, "k1"), "placed")
+    held = written(attach(placed, groups, ["k1", "k2"], "n", total).select(at, "component"), "copies")
     whole = written(held.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("size")), "firsts")
     out = attach(held, whole, ["component"], "size", held.count())
     return out.select("place.row", "place.at", "component", F.col("place").eqNullSafe(F.col("first")).alias("kept"))
