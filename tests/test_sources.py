@@ -235,3 +235,45 @@ def test_database_queries_without_a_local_master(spark, monkeypatch, name):
     want = sorted(map(tuple, source_queries.QUERIES[name](spark, data).collect()))
     monkeypatch.setattr(source_queries, "_one_process", lambda s: False)
     assert sorted(map(tuple, source_queries.QUERIES[name](spark, data).collect())) == want and want
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_replace_finds_keys_by_an_index(spark, tmp_path, shared):
+    """Rows to be replaced were compared with every staged row, and texts passed through CLOBs."""
+    import time
+
+    from wayfold.sources.jdbc import Embedded
+
+    db = Embedded.create(spark, f"file://{tmp_path}/e") if shared else Store(spark, f"jdbc:derby:{tmp_path}/d;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    db.execute(["CREATE TABLE T (ID BIGINT PRIMARY KEY, N BIGINT, S VARCHAR(1000))"])
+    seen, execute = [], db.execute
+    db.execute = lambda statements, **more: (seen.extend(statements), execute(statements, **more))
+    rows = spark.range(24_000).selectExpr("id AS ID", "id AS N", "repeat('x', 200) AS S")
+    db.write(rows.where("ID < 12000"), "T", OVERWRITE)
+    began = time.time()
+    db.write(rows.where("ID >= 6000").withColumn("N", F.lit(-1)), "T", REPLACE, ["ID"])
+    assert time.time() - began < 60 and any(s.startswith("CREATE INDEX") for s in seen) and not any("CLOB" in s for s in seen)
+    back = (db.published() if shared else db).table("T", ("ID", 0, 24_000, 3))
+    assert back.rdd.getNumPartitions() == 3
+    assert tuple(back.selectExpr("count(*)", "count(DISTINCT ID)", "sum(IF(N = -1, 1, 0))", "sum(IF(N = ID AND ID < 6000, 1, 0))", "min(length(S))").first()) == (24_000, 24_000, 18_000, 6_000, 200)
+
+
+def test_embedded_writes_hold_or_leave_the_table(spark, tmp_path):
+    """No rows empty the table on overwrite; a failed import leaves what was there, and no scratch files stay."""
+    import os
+
+    from wayfold.sources.jdbc import Embedded
+
+    db = Embedded.create(spark, f"file://{tmp_path}/e")
+    db.execute(["CREATE TABLE T (ID BIGINT PRIMARY KEY, S VARCHAR(10))"])
+    df = spark.createDataFrame([(1, "a"), (2, None)], "ID long, S string")
+    db.write(df, "T", OVERWRITE)
+    with pytest.raises(Exception):
+        db.write(df.unionByName(df), "T", OVERWRITE)
+    with pytest.raises(Exception):
+        db.write(df.withColumn("ID", F.lit(1)).unionByName(df), "T", REPLACE, ["ID"])
+    assert sorted(map(tuple, db.table("T").collect())) == [(1, "a"), (2, None)]
+    db.write(df.where("ID > 5"), "T", REPLACE, ["ID"])
+    assert db.table("T").count() == 2
+    db.write(df.where("ID > 5"), "T", OVERWRITE)
+    assert db.table("T").count() == 0 and os.listdir(f"{tmp_path}/e") == ["db"]

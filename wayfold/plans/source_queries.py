@@ -158,7 +158,9 @@ def _jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     db.write(trips.where("moid % 3 = 0").withColumn("MOID", F.lit(-1)), "TRIPS", OVERWRITE)
     db.write(trips.where("moid % 3 < 2"), "TRIPS", REPLACE, ["TRIP_ID"])
     db = _readable(db)
-    return _lines(db.decoded(db.table("TRIPS"), {"POLYLINE": "trajectory"}).selectExpr("TRIP_ID AS trip_id", "MOID AS moid", "POLYLINE AS polyline"), "polyline")
+    r = db.query("SELECT min(TRIP_ID) AS LOW, max(TRIP_ID) AS HIGH FROM TRIPS").first()
+    ranges = None if r["LOW"] is None else ("TRIP_ID", r["LOW"], r["HIGH"], spark.sparkContext.defaultParallelism)
+    return _lines(db.decoded(db.table("TRIPS", ranges), {"POLYLINE": "trajectory"}).selectExpr("TRIP_ID AS trip_id", "MOID AS moid", "POLYLINE AS polyline"), "polyline")
 
 
 def _jdbc_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import uuid
 import zipfile
 from dataclasses import dataclass, field
@@ -90,18 +91,35 @@ class Store:
             return
         if mode not in (OVERWRITE, REPLACE) or (mode == REPLACE and not key):
             raise ValueError(f"mode {mode!r} with key {key!r}")
+        own = {c.lower(): c for c in target}
+        if mode == OVERWRITE and self._refill(df, _checked(name)):
+            return
         staging = f"{_checked(name)}_{uuid.uuid4().hex[:12]}"
         try:
-            self._load(df, staging, "overwrite")
-            own = {c.lower(): c for c in target}
-            into, columns = (", ".join(_quoted(c) for c in names) for names in ([own[c.lower()] for c in df.columns], df.columns))
-            staged = {c.lower(): c for c in df.columns}
+            into = ", ".join(_quoted(own[c.lower()]) for c in df.columns)
+            self._stage(df, staging, name, into)
+            staged = {c.lower(): c for c in self.table(staging).columns}
+            columns = ", ".join(_quoted(staged[c.lower()]) for c in df.columns)
             match = " AND ".join(f"{name}.{_quoted(own[k.lower()])} = {staging}.{_quoted(staged[k.lower()])}" for k in key or [])
+            if mode == REPLACE:  # without it, rows of equal key are looked for in the whole staging table, once for each row
+                self.execute([f"CREATE INDEX K_{uuid.uuid4().hex[:12]} ON {staging} ({', '.join(_quoted(staged[k.lower()]) for k in key)})"], missing=True)
             clear = f"DELETE FROM {name}" + (f" WHERE EXISTS (SELECT 1 FROM {staging} WHERE {match})" if mode == REPLACE else "")
             self.execute([clear, f"INSERT INTO {name} ({into}) SELECT {columns} FROM {staging}"])
         finally:
             self.execute([f"DROP TABLE {staging}"], missing=True)
 
+    def _refill(self, df: DataFrame, name: str) -> bool:
+        """Empties the table and fills it in one transaction without staging, where the database can; whether it did."""
+        return False
+
+    def _stage(self, df: DataFrame, staging: str, name: str, columns: str) -> None:
+        """df's rows in a new table; Derby gives it the target's types, since it reads texts as CLOBs row by row."""
+        if self.url.startswith("jdbc:derby:"):
+            self.execute([f"CREATE TABLE {staging} AS SELECT {columns} FROM {name} WITH NO DATA"])
+            self._load(df, staging, "append")
+        else:
+            self._load(df, staging, "overwrite")
+
     def _load(self, df: DataFrame, table: str, how: str) -> None:
         df.write.format("jdbc").option("url", self.url).options(**self.options).option("dbtable", table).mode(how).save()
 
@@ -166,18 +184,36 @@ class Embedded(Store):
                 raise
 
     def _load(self, df: DataFrame, table: str, how: str) -> None:
-        if how == "overwrite":
-            super()._load(df.limit(0), table, how)  # the table only: no rows, no tasks
+        """Imports df's rows, added or instead of the table's own (how is append or replace): one file, so one transaction. Instead of others they aren't logged, and indexes are built in one go."""
         part = f"rows-{uuid.uuid4().hex}"
         quoting = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-        df.write.options(**quoting).csv(f"{self.folder}/{part}")
-        own = {c.lower(): c for c in self.table(table).columns}
-        names = ",".join(own[c.lower()] for c in df.columns)
-        schema, _, plain = table.rpartition(".")
-        text = lambda s: "'" + s.replace("'", "''") + "'"
         at = f"{_local(self.folder)}/{part}"
-        files = sorted(f for f in os.listdir(at) if f.endswith(".csv") and os.path.getsize(f"{at}/{f}"))
-        self.execute([f"CALL SYSCS_UTIL.SYSCS_IMPORT_DATA({text(schema.upper()) if schema else 'NULL'}, {text(plain.upper())}, {text(names)}, NULL, {text(f'{at}/{f}')}, ',', '\"', 'UTF-8', 0)" for f in files])
+        try:
+            df.write.options(**quoting).csv(f"{self.folder}/{part}")
+            own = {c.lower(): c for c in self.table(table).columns}
+            names = ",".join(own[c.lower()] for c in df.columns)
+            schema, _, plain = table.rpartition(".")
+            text = lambda s: "'" + s.replace("'", "''") + "'"
+            with open(f"{at}/all", "wb") as out:
+                for f in sorted(f for f in os.listdir(at) if f.endswith(".csv")):
+                    with open(f"{at}/{f}", "rb") as rows:
+                        shutil.copyfileobj(rows, out, 1 << 20)
+                    os.remove(f"{at}/{f}")
+                empty = not out.tell()
+            if not empty:
+                self.execute([f"CALL SYSCS_UTIL.SYSCS_IMPORT_DATA({text(schema.upper()) if schema else 'NULL'}, {text(plain.upper())}, {text(names)}, NULL, {text(f'{at}/all')}, ',', '\"', 'UTF-8', {int(how == 'replace')})"])
+            elif how == "replace":
+                self.execute([f"DELETE FROM {table}"])
+        finally:
+            shutil.rmtree(at, ignore_errors=True)
+
+    def _refill(self, df: DataFrame, name: str) -> bool:
+        self._load(df, name, "replace")
+        return True
+
+    def _stage(self, df: DataFrame, staging: str, name: str, columns: str) -> None:
+        self.execute([f"CREATE TABLE {staging} AS SELECT {columns} FROM {name} WITH NO DATA"])
+        self._load(df, staging, "replace")
 
     def published(self) -> Store:
         """The database as it is, closed and packed into one file that every executor reads."""
