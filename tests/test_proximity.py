@@ -56,3 +56,21 @@ def test_q5_makes_trips_of_the_sampled_vehicles_only(spark):
 
     plan = benchmark.QUERIES["q5"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 2 and "Join Inner, (licence1" in plan and "broadcast" in plan
+
+
+def test_sightings_of_vehicles_that_coincide(spark, tmp_path):
+    """Four copies of the events at the same places and times: every pair with every point and instant, by one exchange for the distinct rows and the pairs."""
+    import duckdb
+
+    from wayfold.plans import benchmark
+
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("*", "explode(sequence(0, 3)) AS k").selectExpr("event_id + k * 1024000 AS event_id", "ts", "user_id + k * 1000 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("q11", "q12"):
+        df = benchmark.QUERIES[name](spark, str(tmp_path))
+        want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({benchmark.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 100
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(licence" not in plan and plan.index("explode(ids") < plan.index("explode(instants")
